@@ -51,15 +51,15 @@ def units(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """Distinct 64-bit digests of (unit, occurrence), in order of the text."""
+    """Distinct 64-bit digests of (unit, occurrence), ascending."""
     seen: dict[str, int] = {}
     out = []
     hashed = xxhash.xxh3_64_intdigest
     for u in units(text):
         k = seen.get(u, 0)
         seen[u] = k + 1
-        out.append(hashed(u, k))
-    return np.array(out, np.uint64)
+        out.append(hashed(f"{k} {u}" if k else u))
+    return np.unique(np.array(out, np.uint64))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
