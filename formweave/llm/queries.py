@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formweave.llm import chat, sharding
 
 
 
@@ -44,6 +47,13 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"), media=False, tensors=False)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formweave.llm import jaccard_join
+
+    found = jaccard_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.documents.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +62,24 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(same).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formweave.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_language_id, op4_document_fingerprints, op5_media_columns, op8_byte_bpe)
+    f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_language_id, op4_document_fingerprints, op5_media_columns, op6_extendible_shards, op7_ngram_jaccard_join, op8_byte_bpe, op9_chat_formatting, op10_source_mixing)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_extendible_shards": sharding.SQL, "op9_chat_formatting": chat.SQL}
