@@ -22,9 +22,8 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from formweave.llm.common import map_batches
+from formweave.llm.common import map_batches, text_frame
 
 #: Matches kept with their ids in each Python worker, and the longest one kept.
 CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 48
@@ -127,12 +126,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
     """
     with open(ranks_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    frame = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
+    frame, fields, take = text_frame(docs, keep, text)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         model = _model(shipped.value, pattern)
-        packed = model.encode(cols.pop("__text"))
+        packed = model.encode([t or "" for t in take(cols)])
         cols["n_tokens"] = [len(p) // 4 for p in packed]
         if ids:
             cols["ids"] = [np.frombuffer(p, "<u4").astype(np.int32) for p in packed]

@@ -39,6 +39,14 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def text_frame(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str, Callable[[dict], list]]:
+    """The columns to hand to Python (a text that is kept is sent once), the DDL of the kept
+    ones, and a function that takes the texts out of a batch's columns."""
+    frame = docs.select(*keep, *([] if text in keep else [docs[text].alias("__text")]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
+    return frame, fields, lambda cols: list(cols[text]) if text in keep else cols.pop("__text")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else a temporary one (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from formweave.llm.common import map_batches
+from formweave.llm.common import map_batches, text_frame
 
 #: The bound of the fitting sample, in folded code points over all languages, and its seed.
 SAMPLE_CHARS, SAMPLE_SEED = 200_000, 17
@@ -194,15 +194,14 @@ def fit_sample(docs: DataFrame) -> dict[str, str]:
 def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred and score; only the text is looked at."""
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # at most SAMPLE_CHARS code points
-    frame = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
+    frame, fields, take = text_frame(docs, keep, text)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         key = hash(tuple(sorted(shipped.value.items())))
         if key not in _PARSERS:
             _PARSERS.clear()
             _PARSERS[key] = CrossParser(shipped.value)
-        cols["lang_pred"], cols["score"] = _PARSERS[key].predict(cols.pop("__text"))
+        cols["lang_pred"], cols["score"] = _PARSERS[key].predict(take(cols))
         return cols
 
     return map_batches(frame, run, f"{fields}, lang_pred string, score double")

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formweave.llm.common import map_batches
+from formweave.llm.common import map_batches, text_frame
 
 #: Widest image written, in MCUs; taller ones follow from the payload's length.
 MCUS_WIDE = 64
@@ -430,13 +430,12 @@ def feature(tensor: np.ndarray) -> str:
 def media_columns(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", media: bool = True, tensors: bool = True) -> DataFrame:
     """``keep`` columns, payload digests read back from the stored form, a feature, and on demand
     the stored form (``media``) and its full-resolution RGB tensor (``rgb``, with height and width)."""
-    frame = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
+    frame, fields, take = text_frame(docs, keep, text)
     schema = f"{fields}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         rows: list[tuple] = []
-        for t in cols.pop("__text"):
+        for t in take(cols):
             n, data = padded(t)
             file = encode(data)
             image = decode(file)

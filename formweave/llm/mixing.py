@@ -130,11 +130,12 @@ def _plan(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("source").applyInArrow(lambda t: pa.Table.from_batches(run(t.to_batches())), "source string, size bigint, passes bigint, extra bigint")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row each of ``docs``."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = stash(rows.withColumn("slice", F.pmod(F.shiftright("h", 40), F.lit(SLICES)).cast("int")), "mix-sizes")  # texts are read once
+def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the ``keep`` columns in a struct ``kept``: one row each of ``docs``."""
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    place = F.pmod(F.shiftright(h, 40), F.lit(SLICES)).cast("int").alias("slice")
+    full = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), h.alias("h"), place, *([F.struct(*keep).alias("kept")] if keep else []))
+    rows = stash(full.drop("kept"), "mix-sizes")  # sizes and ids are read several times, texts are not
     goals = targets(rows)
     sliced = rows.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     histogram = sliced.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -151,6 +152,6 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     starts = keyed(starts).join(keyed(plan), ["source", "size"])
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "doc_id"))
-    ranked = keyed(rows).withColumn("rank", rank)
+    ranked = keyed(full if keep else rows).withColumn("rank", rank)
     taken = F.col("size") * (F.col("passes") + (F.col("below") + F.col("rank") <= F.col("extra")).cast("bigint"))
-    return ranked.join(starts, ["source", "size", "slice"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return ranked.join(starts, ["source", "size", "slice"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["kept"] if keep else []))

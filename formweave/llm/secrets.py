@@ -33,9 +33,8 @@ import zlib
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from formweave.llm.common import map_batches
+from formweave.llm.common import map_batches, text_frame
 
 KINDS = ("assign", "access", "hex")
 MAX_EXPANDED = 64 << 20
@@ -267,11 +266,10 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
 
 def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", redact: bool = False) -> DataFrame:
     """``keep`` columns, counts of base matches, their digest, all spans, and with ``redact`` the cleaned text."""
-    frame = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
+    frame, fields, take = text_frame(docs, keep, text)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        texts = cols.pop("__text")
+        texts = take(cols)
         found = [scan(t or "") for t in texts]
         for place, kind in enumerate(KINDS):
             cols[f"n_{kind}"] = [sum(s[2] == place for s in base) for base, _, _ in found]
