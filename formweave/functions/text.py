@@ -5,13 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-_ASCII = r"^[\x00-\x7F]*$"
 #: White space as Python's str.strip takes it: Unicode's, and the four separators that Java leaves out.
 _SPACE = r"[\s\x1c-\x1f]"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -19,7 +17,8 @@ _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 
 @arrow_udf(StringType())
 def _nfc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, "NFC")
+    # Arrow's own normaliser leaves decomposed letters decomposed, so Python's is used
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 @arrow_udf(StringType())

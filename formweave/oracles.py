@@ -96,8 +96,8 @@ r AS (
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 ), pairs AS (
   SELECT fixture_id, k, k % 3 = 0 AS box,
-    coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN 'red | blue|' || k % 4 ELSE a END, '') AS c,
-    coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN k % 2 || '|red|blue|' WHEN k % 4 = 0 THEN a ELSE b END, '') AS f FROM r
+    nfc_normalize(coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN 'red | blue|' || k % 4 ELSE a END, '')) AS c,
+    nfc_normalize(coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN k % 2 || '|red|blue|' WHEN k % 4 = 0 THEN a ELSE b END, '')) AS f FROM r
 ), o AS (SELECT *, box AND k % 4 = k % 2 AS same_set FROM pairs WHERE c <> '' OR f <> ''),
 judged AS (
   SELECT *, (ascii(c) + ascii(f) + length(c) + length(f)) % 3 AS z, CASE WHEN box THEN same_set ELSE c = f END AS answer_same FROM o
@@ -217,7 +217,7 @@ SELECT k AS o_orderkey, CASE k % 4 WHEN 0 THEN 1000.5 + k % 1000 WHEN 1 THEN 100
     "normalized_text": """SELECT conv_id, turn, sha256(regexp_replace(coalesce(nfc_normalize(text), ''), '^[\\s]+|[\\s]+$', '', 'g')) AS digest,
   regexp_replace(coalesce(text, ''), '\\s', '', 'g') = '' AS blank, sha256(encode(coalesce(role, '')) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS key
 FROM conversations WHERE turn IS NOT NULL""",
-    "dsl_canonical": f"WITH {_EXPRESSIONS} SELECT k AS o_orderkey, canonical, k % 4 IN (0, 1) AS loosely_valid FROM x",
+    "dsl_canonical": f"WITH {_EXPRESSIONS} SELECT k AS o_orderkey, canonical, k % 4 = 0 AS loosely_valid FROM x",
     "branching_equivalence": f"""WITH {_EXPRESSIONS}
 SELECT fixture_id, count(*) FILTER (k % 4 IN (0, 1) AND k % 8 <> 5)::BIGINT AS numerator, count(*)::BIGINT AS denominator,
   count(*) FILTER (k % 4 IN (0, 1) AND k % 8 <> 5)::DOUBLE / count(*)::DOUBLE AS score, 0::BIGINT AS unresolved FROM x GROUP BY 1""",
@@ -248,15 +248,15 @@ SELECT fixture_id, block_id, CASE WHEN coalesce(conf, 0) < 0.75 THEN 1 ELSE 0 EN
     "gate_reasons": f"""WITH RECURSIVE {_LINKED},
 e AS (SELECT a.fixture_id, a.d, a.parent, p.d IS NOT NULL AS known FROM n a LEFT JOIN n p ON p.fixture_id = a.fixture_id AND p.d = a.parent WHERE a.parent IS NOT NULL),
 walk AS (
-  SELECT fixture_id, d AS start, parent AS at, 1 AS steps FROM e WHERE known
-  UNION ALL SELECT walk.fixture_id, start, e.parent, steps + 1 FROM walk JOIN e ON e.fixture_id = walk.fixture_id AND e.d = walk.at AND e.known WHERE steps < 60 AND walk.at <> start
+  SELECT fixture_id, d AS start, parent AS cur, 1 AS steps FROM e WHERE known
+  UNION ALL SELECT walk.fixture_id, start, e.parent, steps + 1 FROM walk JOIN e ON e.fixture_id = walk.fixture_id AND e.d = walk.cur AND e.known WHERE steps < 60 AND walk.cur <> start
 ), label AS (
   SELECT *, last_value(CASE WHEN t IN ('question_label', 'section_header', 'subsection_header') THEN d END IGNORE NULLS) OVER (PARTITION BY fixture_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp FROM n
 ), why AS (
   SELECT fixture_id, d, 'low_confidence' AS r FROM n WHERE conf < 0.70
   UNION ALL SELECT fixture_id, d, 'ambiguous' FROM n WHERE d % 6 = 0
   UNION ALL SELECT fixture_id, d, 'dangling_parent' FROM e WHERE NOT known
-  UNION ALL SELECT DISTINCT fixture_id, start, 'cycle' FROM walk WHERE at = start
+  UNION ALL SELECT DISTINCT fixture_id, start, 'cycle' FROM walk WHERE cur = start
   UNION ALL SELECT fixture_id, d, 'orphan_input' FROM n WHERE t IN {_INPUTS} AND parent IS NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.fixture_id = n.fixture_id AND e.parent = n.d)
   UNION ALL SELECT fixture_id, d, 'distant_option' FROM label WHERE t IN ('checkbox_option', 'radio_option') AND coalesce(d - lp > 5, true)
 )
