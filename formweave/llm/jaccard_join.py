@@ -16,8 +16,10 @@ shingle.  Two documents link when 100 * |A and B| >= percent * |A or B|.
    that share one pass the length and position filters; pairs are expanded to
    the classes of their groups and verified on the texts.
 4. Where more than ``RUN`` groups share a shingle, only each one with its
-   neighbour and with the first are tried at once.  Components are found, then
-   every pair of such a run that is not in one component yet is tried too.  So a
+   neighbour and with the run's hub are tried at once.  Components are found,
+   then every pair of such a run that is not in one component yet is tried too,
+   unless parity sketches show that the sets differ too much (they never differ
+   in more bits than the sets do, so no link is lost).  So a
    group of near copies costs a line of comparisons, not a square, and yet no
    pair that could join two components is left out.  ``all_links`` tries every
    pair at once instead, for callers that want each link between classes.
@@ -47,6 +49,7 @@ ORDER_ENTRIES, ORDER_LEAST = 1 << 18, 4
 #: Tokens that one task counts at a time for the frequency order.
 COUNT_TOKENS = 1 << 21
 RUN = 24
+SKETCH_BITS = 1024
 #: Ids of candidate documents up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 _U = np.uint64
@@ -165,20 +168,27 @@ def frequency_order(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.log2(rows["n"].to_numpy()[order]).astype(np.uint8) + 1 if len(tokens) else np.zeros(0, np.uint8)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH_BITS parity bits of a set: those in which two sketches differ are at most as many as their sets do."""
+    bits = np.bincount((s >> _U(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, size, setkey, gkey, prefix of each document; keys are null for the empty set."""
+    """doc_id, size, setkey, gkey, sketch, prefix of each document; keys are null for the empty set."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)  # at most ORDER_ENTRIES of 9 bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, weights = shipped.value
         for batch in batches:
-            sizes, sets, groups, prefixes = [], [], [], []
+            sizes, sets, groups, sketches, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 sizes.append(len(s))
                 if not len(s):
                     sets.append(None)
                     groups.append(None)
+                    sketches.append(None)
                     prefixes.append(None)
                     continue
                 k = prefix_length(len(s), percent)
@@ -191,12 +201,13 @@ def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, n
                     head = s[:k]
                 sets.append(xxhash.xxh3_128_digest(s))
                 groups.append(xxhash.xxh3_128_digest(head.tobytes() + len(s).to_bytes(8, "little")))
+                sketches.append(sketch(s))
                 prefixes.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "setkey", "gkey", "prefix"]
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "setkey", "gkey", "sketch", "prefix"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, setkey binary, gkey binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, setkey binary, gkey binary, sketch binary, prefix array<bigint>")
 
 
 def _passes(sa: np.ndarray, sb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -256,9 +267,6 @@ def bucket_pairs(rows: DataFrame, percent: int, run_limit: int) -> DataFrame:
                     i = i[~long[i]]
                 if len(i):
                     keep(i, i + d)
-            i = here[long]
-            if len(i):
-                keep(np.repeat(begin, length)[i], i)
             a, b = grp[np.concatenate(left)], grp[np.concatenate(right)]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
@@ -279,12 +287,29 @@ def bucket_pairs(rows: DataFrame, percent: int, run_limit: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, token bigint, grp bigint, size int, pos int")
 
 
+def _hub_pairs(long: DataFrame, percent: int) -> DataFrame:
+    """From rows of long runs: each group with the hub of its run, the group that is in most long runs.
+
+    An edited copy has shingles of its own in its prefix; the text that the copies
+    were made from has only shared ones, so it scores highest."""
+    score = long.groupBy("grp").agg(F.count("*").alias("score"))
+    scored = long.join(score, "grp")
+    hub = scored.groupBy("token").agg(F.max(F.struct("score", F.col("size").alias("s"), F.col("grp").alias("g"), F.col("pos").alias("p"))).alias("hub"))
+    both = long.join(hub.select("token", "hub.s", "hub.g", "hub.p"), "token").where("grp <> g")
+    need = F.ceil(percent * (F.col("size") + F.col("s")) / (100 + percent))
+    most = F.least("pos", "p") + 1 + F.least(F.col("size") - F.col("pos") - 1, F.col("s") - F.col("p") - 1)
+    both = both.where((100 * F.least("size", "s") >= percent * F.greatest("size", "s")) & (most >= need))
+    return both.select(F.least("grp", "g").alias("a"), F.greatest("grp", "g").alias("b")).distinct()
+
+
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """From (token, size, grp, pos, component) sorted in partitions: all pairs of a run in different components."""
+    """From (token, size, grp, pos, component, sketch) sorted in partitions: the pairs of a run in different
+    components that pass the filters and whose sketches do not differ too much."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, size, grp, pos, comp in _runs(batches):
+        for token, size, grp, pos, comp, bits in _runs(batches):
             size, pos = size.astype(np.int64), pos.astype(np.int64)
+            words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             for a, b in zip(begin, np.append(begin[1:], len(token)), strict=True):
                 if (comp[a:b] == comp[a]).all():
@@ -294,6 +319,10 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     j = np.arange(i + 1, stop)
                     j = j[comp[j] != comp[i]]
                     j = j[_passes(size[i], size[j], pos[i], pos[j], percent)]
+                    if len(j):
+                        both = size[i] + size[j]
+                        differ = both - 2 * (-(-percent * both // (100 + percent)))
+                        j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64) <= differ]
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(grp[i], grp[j])), pa.array(np.maximum(grp[i], grp[j]))], names=["a", "b"])
 
@@ -337,7 +366,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
     # deciding by length of runs: an exact way for long ones follows below
     sig = stash(signatures(docs, n, percent, frequency_order(docs, n)), "signatures")
     known = sig.where(F.col("setkey").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stash(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.min("gkey").alias("gkey"), F.min("size").alias("size")), "classes")
+    classes = stash(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.min("gkey").alias("gkey"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), "classes")
     # a group is named by its smallest class
     members = classes.groupBy("gkey").agg(F.min("rep").alias("grp"), F.count("*").alias("classes"))
     heads = members.join(classes.select("gkey", F.col("rep").alias("grp"), "setkey"), ["gkey", "grp"])
@@ -349,6 +378,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
     many = members.where("classes > 1").join(classes.select("gkey", "rep"), "gkey").select("grp", "rep")
     many = stash(many, "members")
     groups = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    long = found.where(F.col("token").isNotNull()).select("token", "size", "grp", "pos")
+    some_long = not long.isEmpty()
+    if some_long:
+        groups = stash(groups.unionByName(_hub_pairs(long, percent)).distinct(), "groups")
     # classes of one group: each with the first at once, the rest if these do not join them
     spine = many.where("grp <> rep").select(F.col("grp").alias("a"), F.col("rep").alias("b"))
     first = stash(groups.unionByName(spine).distinct(), "pairs")
@@ -359,12 +392,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
         own = comps.select(F.col("node").alias(of), F.col("component").alias(name))
         return df.join(own, of, "left").withColumn(name, F.coalesce(name, of))
 
-    long = found.where(F.col("token").isNotNull()).select("token", "size", "grp", "pos")
     open_groups = groups.limit(0)
-    if not long.isEmpty():
-        labelled = component(long, "grp", "component").select("token", "size", "grp", "pos", "component")
+    if some_long:
+        labelled = component(long, "grp", "component")
+        apart = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        labelled = labelled.join(apart, "token", "left_semi").join(classes.select(F.col("rep").alias("grp"), "sketch"), "grp")
+        labelled = labelled.select("token", "size", "grp", "pos", "component", "sketch")
         labelled = labelled.repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token").sortWithinPartitions("token", "size", "grp")
-        with _arrow_rows(spark, 20_000):
+        with _arrow_rows(spark, 4_000):
             open_groups = stash(_open_pairs(labelled, percent).distinct(), "open")
     rest = open_groups
     if not many.isEmpty():
