@@ -81,7 +81,8 @@ def map_rows(blocks: DataFrame, substitute: bool = True) -> DataFrame:
     options = F.when(F.col("question_type").isin("Checkbox Group", "Radio Button", "Checkbox"), F.col("options"))
     if substitute:
         r = substitute_references(r, s)
-    made = {"section": F.col("section"), "auto_populated": auto, "sequence": F.col("sequence"), "question_type": F.col("question_type"), "question_text": F.coalesce("text", F.lit("")), "branching_logic": F.col("branching_logic"), "answer_text": options, "answer_validation": rule}
+    made = {"section": F.col("section"), "auto_populated": auto, "sequence": F.col("sequence"), "question_type": F.col("question_type"), "question_text": F.coalesce("text", F.lit("")), "answer_text": options, "answer_validation": rule}
+    made["branching_logic"] = F.col("branching_logic") if "branching_logic" in r.columns else F.lit(None).cast("string")
     fields = [made.get(name, F.lit(default).cast("string")).alias(name) for _, name, default in COLUMNS]
     return r.select("fixture_id", "block_id", *fields)
 
