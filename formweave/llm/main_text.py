@@ -146,8 +146,9 @@ def mark(root: Node) -> bool:
     def has_region(node: Node) -> bool:
         key = id(node)
         if key not in regions:
-            own = (node.tag in ("article", "main") or node.attrs.get("role") == "main") and not _words(node) & COMMENT_WORDS
-            regions[key] = own or any(has_region(c) for c in node.children if isinstance(c, Node))
+            own = node.tag in ("article", "main") or node.attrs.get("role") == "main"
+            comment = _words(node) & COMMENT_WORDS and node.tag not in ("html", "body")
+            regions[key] = not comment and (own or any(has_region(c) for c in node.children if isinstance(c, Node)))
         return regions[key]
 
     post = [root]  # children before parents, so that deep trees need no recursion

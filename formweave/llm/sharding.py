@@ -75,8 +75,8 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit_bytes: int =
     shards = stash(directory(tree(rows, limit_bytes), limit_bytes), "shards")
     depths = [r[0] for r in shards.select("leaf_depth").distinct().orderBy("leaf_depth").collect()]  # at most 5
     # each row has one leaf: the deepest prefix that is one
-    if len(depths) == 1:
-        joined = rows.withColumn("leaf_prefix", _prefix(depths[0])).join(shards, "leaf_prefix")
+    if len(depths) < 2:  # none: no rows
+        joined = rows.withColumn("leaf_prefix", _prefix(depths[0] if depths else 1)).join(shards, "leaf_prefix")
     else:
         options = F.array(*[F.struct(F.lit(d).alias("leaf_depth"), _prefix(d).alias("leaf_prefix")) for d in depths])
         joined = rows.withColumn("o", F.explode(options)).select("key", "size", "h", "o.*").join(shards, ["leaf_depth", "leaf_prefix"])
