@@ -48,7 +48,7 @@ from formweave.llm.components import components
 ORDER_ENTRIES, ORDER_LEAST = 1 << 18, 4
 #: Tokens that one task counts at a time for the frequency order.
 COUNT_TOKENS = 1 << 21
-RUN = 24
+RUN = 4
 SKETCH_BITS = 1024
 #: Ids of candidate documents up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
@@ -329,6 +329,22 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule a link out, so that few texts travel."""
+    side = classes.select("rep", "size", "sketch")
+    both = pairs.join(side.toDF("a", "za", "ka"), "a").join(side.toDF("b", "zb", "kb"), "b").select("a", "b", "za", "zb", "ka", "kb")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            differ = size - 2 * (-(-percent * size // (100 + percent)))
+            ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= differ)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, overlap, either) of the pairs that link, from the documents' texts; ``docs`` has doc_id, text."""
     spark = docs.sparkSession
@@ -385,7 +401,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
     # classes of one group: each with the first at once, the rest if these do not join them
     spine = many.where("grp <> rep").select(F.col("grp").alias("a"), F.col("rep").alias("b"))
     first = stash(groups.unionByName(spine).distinct(), "pairs")
-    links = stash(verify(docs, first, n, percent), "links")
+    links = stash(verify(docs, stash(plausible(first, classes, percent), "plausible"), n, percent), "links")
     comps = stash(components(links.select("a", "b")), "components")
 
     def component(df: DataFrame, of: str, name: str) -> DataFrame:
@@ -413,7 +429,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
             rest = component(component(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     rest = stash(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = stash(links.unionByName(verify(docs, rest, n, percent)), "links")
+        links = stash(links.unionByName(verify(docs, stash(plausible(rest, classes, percent), "plausible"), n, percent)), "links")
         comps = stash(components(links.select("a", "b")), "components")
     named = component(classes.select("setkey", F.col("rep").alias("class_id")), "class_id", "component_id")
     documents = sig.select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "setkey").join(named, "setkey", "left")
