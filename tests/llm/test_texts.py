@@ -170,7 +170,7 @@ def test_main_text_rules():
     assert main_text.main_text(PAGE.format(site="", own="")) == "Head & tail\none\ntwo three"
     assert main_text.main_text('<div id="cookieBanner">c</div><div class="header">h</div><p>a&nbsp;b<p>c<div class="comments"><article>no</article></div>') == "a b\nc"
     assert main_text.main_text("plain < 3 &amp text<br>x") == "plain < 3 & text x"
-    assert main_text.main_text("<p>a</p><p title='x>y") == "a" and main_text.main_text("<p " * 3000) == "" and main_text.main_text(None) == ""
+    assert main_text.main_text("<p>a</p><p title='x>y") == "a\ny" and main_text.main_text("<p " * 3000) == "" and main_text.main_text(None) == ""
 
 
 def test_templates_are_counted_per_host(spark):
