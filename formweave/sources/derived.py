@@ -98,7 +98,10 @@ def sheet_cells(spark: SparkSession, sf_dir: str, candidate: bool) -> DataFrame:
 
 
 def sheets(spark: SparkSession, sf_dir: str, candidate: bool) -> DataFrame:
-    ends = sheet_cells(spark, sf_dir, candidate).groupBy("fixture_id").agg(F.max("row").alias("data_end_row"))
+    k = F.col("p_partkey")
+    ends = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("part"), (k % 3).cast("string")).alias("fixture_id")).agg((F.max(F.floor(k / 3)) + HEADER_ROW + 1).cast("int").alias("data_end_row"))
+    if candidate:
+        ends = ends.withColumn("data_end_row", F.col("data_end_row") - F.when(F.col("fixture_id") == "part1", 1).otherwise(0))
     headers = F.array(*map(F.lit, CANDIDATE_HEADERS if candidate else REFERENCE_HEADERS))
     merged = F.array(F.lit("A1:B1"), F.lit("C1:D1")) if not candidate else F.when(F.col("fixture_id") == "part2", F.array(F.lit("A1:B1"))).otherwise(F.array(F.lit("C1:D1"), F.lit("A1:B1")))
     names = F.array(F.lit("Values"), F.lit("Assessment"))
