@@ -50,6 +50,8 @@ ORDER_ENTRIES, ORDER_LEAST = 1 << 18, 4
 COUNT_TOKENS = 1 << 21
 RUN = 4
 SKETCH_BITS = 1024
+#: Sets that a task remembers to leave out the prefixes of copies.
+SEEN_SETS = 1 << 20
 #: Ids of candidate documents up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 _U = np.uint64
@@ -175,13 +177,19 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, size, setkey, gkey, sketch, prefix of each document; keys are null for the empty set."""
+    """doc_id, size, setkey, ghash, sketch, prefix of each document; keys are null for the empty set.
+
+    ghash names the group (prefix and size).  Of equal sets within a task only the first carries
+    its prefix, so copies by the thousand do not meet in the tasks of their shingles."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)  # at most ORDER_ENTRIES of 9 bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, weights = shipped.value
+        seen: set[bytes] = set()
         for batch in batches:
+            if len(seen) > SEEN_SETS:
+                seen.clear()
             sizes, sets, groups, sketches, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 sizes.append(len(s))
@@ -199,15 +207,17 @@ def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, n
                     head = light[:k] if len(light) >= k else s[np.lexsort((s, weight))][:k]
                 else:
                     head = s[:k]
-                sets.append(xxhash.xxh3_128_digest(s))
-                groups.append(xxhash.xxh3_128_digest(head.tobytes() + len(s).to_bytes(8, "little")))
+                key = xxhash.xxh3_128_digest(s)
+                sets.append(key)
+                groups.append(xxhash.xxh3_64_intdigest(head.tobytes() + len(s).to_bytes(8, "little")) - (1 << 63))
                 sketches.append(sketch(s))
-                prefixes.append(head.view(np.int64))
+                prefixes.append(None if key in seen else head.view(np.int64))
+                seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "setkey", "gkey", "sketch", "prefix"]
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "setkey", "ghash", "sketch", "prefix"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, setkey binary, gkey binary, sketch binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, setkey binary, ghash bigint, sketch binary, prefix array<bigint>")
 
 
 def _passes(sa: np.ndarray, sb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -382,19 +392,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
     # deciding by length of runs: an exact way for long ones follows below
     sig = stash(signatures(docs, n, percent, frequency_order(docs, n)), "signatures")
     known = sig.where(F.col("setkey").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stash(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.min("gkey").alias("gkey"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), "classes")
-    # a group is named by its smallest class
-    members = classes.groupBy("gkey").agg(F.min("rep").alias("grp"), F.count("*").alias("classes"))
-    heads = members.join(classes.select("gkey", F.col("rep").alias("grp"), "setkey"), ["gkey", "grp"])
-    heads = known.join(heads.select(F.col("grp").alias("doc_id"), "setkey"), ["doc_id", "setkey"]).select(F.col("doc_id").alias("grp"), "size", "prefix")
-    rows = heads.select(F.posexplode("prefix").alias("pos", "token"), "grp", "size").select("token", "grp", "size", "pos")
+    classes = stash(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.min("ghash").alias("ghash"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), "classes")
+    # a group is named by its smallest class, and by its hash while its shingles are dealt
+    members = classes.groupBy("ghash").agg(F.min("rep").alias("name"), F.count("*").alias("classes"))
+    rows = known.where(F.col("prefix").isNotNull()).select(F.posexplode("prefix").alias("pos", "token"), F.col("ghash").alias("grp"), "size").select("token", "grp", "size", "pos")
     rows = rows.repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token").sortWithinPartitions("token", "size", "grp")
     with _arrow_rows(spark, 20_000):
         found = stash(bucket_pairs(rows, percent, run_limit), "buckets")
-    many = members.where("classes > 1").join(classes.select("gkey", "rep"), "gkey").select("grp", "rep")
+    many = members.where("classes > 1").join(classes.select("ghash", "rep"), "ghash").select(F.col("name").alias("grp"), "rep")
     many = stash(many, "members")
-    groups = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
-    long = found.where(F.col("token").isNotNull()).select("token", "size", "grp", "pos")
+    names = members.select("ghash", "name")
+    pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    pairs = pairs.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b").where("na <> nb")
+    groups = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    long = found.where(F.col("token").isNotNull()).join(names.toDF("grp", "name"), "grp").select("token", "size", F.col("name").alias("grp"), "pos")
     some_long = not long.isEmpty()
     if some_long:
         groups = stash(groups.unionByName(_hub_pairs(long, percent)).distinct(), "groups")
