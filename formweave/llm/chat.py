@@ -114,7 +114,6 @@ def read_back(formatted: Column, template: Template | None = None) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The formatted conversations' digests, all from what is read back."""
-    # the parse is put behind a filter that is always true, so that it is made once and not per use
     back = formatted.select("conv_id", "formatted", "valid", read_back(F.col("formatted")).alias("turns"))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
