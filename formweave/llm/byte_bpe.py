@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from formweave.llm.common import map_batches, text_frame
 
 #: Matches kept with their ids in each Python worker, and the longest one kept.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 48
+CACHE_ENTRIES, CACHE_CHARS = 1 << 16, 48
 _FIRST_CHAR = 0x100
 _MODELS: dict[str, "ByteBpe"] = {}
 

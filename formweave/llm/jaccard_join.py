@@ -47,7 +47,7 @@ from formweave.llm.components import components
 
 ORDER_ENTRIES, ORDER_LEAST = 1 << 18, 4
 #: Tokens that one task counts at a time for the frequency order.
-COUNT_TOKENS = 1 << 21
+COUNT_TOKENS = 1 << 20
 RUN = 4
 SKETCH_BITS = 1024
 #: Sets that a task remembers to leave out the prefixes of copies.
