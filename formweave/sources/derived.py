@@ -127,11 +127,16 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn and the next of a conversation, some made equal, some empty, some as option lists."""
+    """Each turn and the next of a conversation, whole; made pairs (equal, empty, option lists) are rows added to them."""
     c = table(spark, sf_dir, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
-    r = c.join(nxt, ["conv_id", "turn"]).select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string")).alias("fixture_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.substring("text", 1, 20).alias("a"), F.substring("after", 1, 20).alias("b"))
-    k = F.col("row_index")
-    candidate = F.when(k % 5 == 0, "").when(k % 3 == 0, F.concat(F.lit("red | blue|"), (k % 4).cast("string"))).otherwise(F.col("a"))
-    reference = F.when(k % 5 == 0, "").when(k % 3 == 0, F.concat((k % 2).cast("string"), F.lit("|red|blue|"))).when(k % 4 == 0, F.col("a")).otherwise(F.col("b"))
-    return r.select("fixture_id", "row_index", candidate.alias("candidate"), reference.alias("reference"), (k % 3 == 0).alias("is_checkbox"))
+    r = c.join(nxt, ["conv_id", "turn"]).select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string")).alias("fixture_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("text").alias("a"), F.col("after").alias("b"))
+    k = F.col("k")
+
+    def pair(candidate: Column, reference: Column, box: bool) -> Column:
+        return F.struct(candidate.alias("candidate"), reference.alias("reference"), F.lit(box).alias("is_checkbox"))
+
+    options = pair(F.concat(F.lit("red | blue|"), (k % 4).cast("string")), F.concat((k % 2).cast("string"), F.lit("|red|blue|")), True)
+    rows = F.array(pair(F.col("a"), F.col("b"), False), F.when(k % 4 == 0, pair(F.col("a"), F.col("a"), False)), F.when(k % 5 == 0, pair(F.lit(""), F.lit(""), False)), F.when(k % 3 == 0, options))
+    r = r.select("fixture_id", "k", F.posexplode(rows).alias("made", "pair")).where("pair is not null")
+    return r.select("fixture_id", (k * 4 + F.col("made")).alias("row_index"), "pair.*")
