@@ -34,3 +34,14 @@ def test_text_pairs_are_whole(spark, tmp_path):
     open_pairs = {p for p in want if p[0] != p[1]} | {(f"red | blue|{k % 4}", f"{k % 2}|red|blue|") for k in n if k % 3 == 0 and k % 4 != k % 2}
     assert sum(r.pairs for r in QUERIES["judge_calls"](spark, str(tmp_path)).collect()) == len(open_pairs)
     assert sum(r.denominator for r in QUERIES["text_equivalence"](spark, str(tmp_path)).collect()) == sum(r.denominator for r in score.values())
+
+
+def test_vocabulary_reads_all_parts(spark, tmp_path):
+    rows = [(i, f"Brand#{i % 4}{i % 7}") for i in range(1, 60)]
+    write(spark, tmp_path, "part", rows, "p_partkey bigint, p_brand string")
+    want = {}
+    for k, b in rows:
+        if not b.endswith("5"):
+            want.setdefault((f"part{k % 3}", b.lower()), (b.upper() if k % 2 == 0 else b, k + 1))
+    got = {(r.fixture_id, r.key): (r.value, r.row) for r in QUERIES["controlled_vocabulary"](spark, str(tmp_path)).collect()}
+    assert got == want
