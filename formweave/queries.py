@@ -341,7 +341,7 @@ def merge_override(spark, sf):
 @query
 def map_rows(spark, sf):
     b = _linked(spark, sf)
-    return mapping.map_rows(b.withColumn("text", F.substring("text", 1, 12)), substitute=False).select("fixture_id", "block_id", "section", "sequence", "question_type", "question_text", "answer_text", "answer_validation", "required", "auto_populated")
+    return mapping.map_rows(b, substitute=False).select("fixture_id", "block_id", "section", "sequence", "question_type", "question_text", "answer_text", "answer_validation", "required", "auto_populated")
 
 
 @query
@@ -354,7 +354,7 @@ def substituted_branching(spark, sf):
 
 @query
 def document_titles(spark, sf):
-    return mapping.header_meta(_linked(spark, sf).withColumn("text", F.substring("text", 1, 30)), "program")
+    return mapping.header_meta(_linked(spark, sf), "program")
 
 
 @query
@@ -408,10 +408,11 @@ def html_blocks(spark, sf):
 
 @query
 def classified_blocks(spark, sf):
-    """The rule library over page blocks, some of them given labels, glyphs and input lines."""
-    k = F.col("pos")
-    raw = F.when(k % 7 == 1, F.concat(F.substring("text", 1, 20), F.lit(":"))).when(k % 7 == 2, F.lit("Name ______")).when(k % 7 == 3, F.concat(F.lit("☐ "), F.substring("text", 1, 10))).when(k % 7 == 4, F.lit("Signature ____")).when(k % 7 == 5, F.lit("DOB mm/dd/yyyy ____")).otherwise(F.col("text"))
-    c = rules.link_parents(rules.classify(_page_blocks(spark, sf).withColumn("text", raw)))
+    """The rule library over the whole page blocks, and over documents made from them with labels, glyphs and input lines."""
+    b, k = _page_blocks(spark, sf), F.col("pos") % 7
+    raw = F.when(k == 1, F.concat("text", F.lit(":"))).when(k == 2, "Name ______").when(k == 3, F.concat(F.lit("☐ "), F.col("text"))).when(k == 4, "Signature ____").when(k == 5, "DOB mm/dd/yyyy ____")
+    made = b.withColumn("text", raw).where("text is not null").withColumns({c: F.concat(F.lit("made-"), F.col(c)) for c in ("fixture_id", "block_id")})
+    c = rules.link_parents(rules.classify(b.unionByName(made)))
     return c.select("fixture_id", "block_id", "block_type", "rule_id", F.round("confidence", 9).alias("confidence"), F.col("parent_link.relation").alias("relation"))
 
 

@@ -36,6 +36,27 @@ def test_text_pairs_are_whole(spark, tmp_path):
     assert sum(r.denominator for r in QUERIES["text_equivalence"](spark, str(tmp_path)).collect()) == sum(r.denominator for r in score.values())
 
 
+def test_block_texts_are_whole(spark, tmp_path):
+    rows = [(i, f"{LEAD}{'long ' * 50}{i} date of birth", "en", "s", 9) for i in range(50)]
+    write(spark, tmp_path, "documents", rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    text = {f"b{r[0]}": r[1] for r in rows}
+    got = QUERIES["map_rows"](spark, str(tmp_path)).collect()
+    assert got and all(r.question_text == text[r.block_id] and r.auto_populated == "Yes" for r in got)
+    assert {r.section for r in got} - {None} <= set(text.values())
+    assert {o for r in got if r.answer_text for o in r.answer_text.split("|")} <= set(text.values())
+    title = QUERIES["document_titles"](spark, str(tmp_path)).first().assessment_title
+    assert title in text.values()
+
+
+def test_page_blocks_are_whole(spark, tmp_path):
+    body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(14))
+    write(spark, tmp_path, "pages", [(1, "http://a.example/1", f"<body>{body}</body>")], "page_id bigint, url string, html string")
+    got = {r.block_id: r for r in QUERIES["classified_blocks"](spark, str(tmp_path)).collect()}
+    assert all(got[f"p1-{i}"].block_type == "display" for i in range(14))
+    assert got["made-p1-1"].block_type == "question_label" and got["made-p1-3"].block_type != "checkbox_option"
+    assert sum(b.startswith("made-") for b in got) == 10
+
+
 def test_vocabulary_reads_all_parts(spark, tmp_path):
     rows = [(i, f"Brand#{i % 4}{i % 7}") for i in range(1, 60)]
     write(spark, tmp_path, "part", rows, "p_partkey bigint, p_brand string")
