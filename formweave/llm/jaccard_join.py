@@ -23,6 +23,10 @@ shingle.  Two documents link when 100 * |A and B| >= percent * |A or B|.
    group of near copies costs a line of comparisons, not a square, and yet no
    pair that could join two components is left out.  ``all_links`` tries every
    pair at once instead, for callers that want each link between classes.
+5. ``count_links`` gives each document the number of classes that its class
+   links with.  Linked classes are of one component, so its classes are dealt
+   into chunks of about ``CHUNK``, every two chunks meet in a task's unit and all
+   pairs of a unit are compared there: only counts leave it, never pairs.
 
 Edge cases: null texts and texts without words have the empty set and link
 with nothing; a null id links with nothing and has a null component; rows that
@@ -52,6 +56,8 @@ RUN = 4
 SKETCH_BITS = 1024
 #: Sets that a task remembers to leave out the prefixes of copies.
 SEEN_SETS = 1 << 20
+#: Classes of one component whose sets are compared in one go, and shingles of them that are spread out at once.
+CHUNK, SPREAD = 64, 1 << 16
 #: Ids of candidate documents up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 _U = np.uint64
@@ -375,15 +381,80 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, overlap bigint, either bigint")
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of the sets link (a square of truth values, false on its diagonal)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    token, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(place, minlength=len(token)) > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[place]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(shared.sum()), SPREAD):
+        a, b = np.searchsorted(column, [low, low + SPREAD])
+        here = np.zeros((len(sets), min(SPREAD, int(shared.sum()) - low)), np.float32)
+        here[row[a:b], column[a:b] - low] = 1
+        common += (here @ here.T).astype(np.int64)  # exact: sums stay below 2^24
+    linked = (100 * common >= percent * (size[:, None] + size - common)) & (common > 0)
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def link_counts(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
+    """(setkey, n_links): the other classes that each class of a component of several links with.
+
+    ``named`` has setkey, class_id, component_id of the classes; ``docs`` doc_id, text."""
+    sizes = named.groupBy("component_id").agg(F.count("*").alias("m"), (F.min("class_id") != F.max("class_id")).alias("apart")).where("m > 1")
+    inside = stash(named.join(sizes, "component_id"), "inside")
+    two = F.col("apart") & (F.col("m") == 2)  # a component of two is their link
+    k = F.ceil(F.col("m") / CHUNK).cast("int")
+    many = inside.where(~two).select("setkey", F.col("class_id").alias("doc_id"), F.col("component_id").alias("comp"), k.alias("k"), F.pmod(F.xxhash64("setkey"), k).cast("int").alias("own"))
+    small_batches(docs.sparkSession)
+    wanted = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    met = docs.join(wanted, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "setkey", "text")
+    met = met.repartition(max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, {}
+
+        def counted() -> pa.RecordBatch:
+            keys = list(held)
+            own = np.array([held[x][0] for x in keys])
+            linked = _linked([held[x][1] for x in keys], percent)
+            if unit[1] != unit[2]:  # two chunks meet: pairs of one chunk count in its own unit
+                linked &= own[:, None] != own
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(linked.sum(axis=1), pa.int64())], names=["setkey", "n"])
+
+        for batch in batches:
+            comp, low, high, own, keys, texts = (c.to_pylist() for c in batch.columns)
+            for at, s in enumerate(shingle_sets(texts, n)):
+                if (here := (comp[at], low[at], high[at])) != unit:
+                    if held:
+                        yield counted()
+                    unit, held = here, {}
+                if xxhash.xxh3_128_digest(s) == keys[at]:  # not the other text of a repeated id
+                    held[keys[at]] = (own[at], s)
+        if held:
+            yield counted()
+
+    counts = met.mapInArrow(run, "setkey binary, n bigint").groupBy("setkey").agg(F.sum("n").alias("n_links"))
+    return inside.where(two).select("setkey", F.lit(1).cast("bigint").alias("n_links")).unionByName(counts)
+
+
 @dataclass(frozen=True)
 class Join:
-    """documents: doc_id, n_shingles, class_id, component_id.  links: verified pairs of class ids (a, b, overlap, either)."""
+    """documents: doc_id, n_shingles, class_id, component_id, and with ``count_links`` n_links, the number of other
+    classes that link with the document's own.  links: verified pairs of class ids (a, b, overlap, either), all of
+    them with ``all_links``, else as many as join the components."""
 
     documents: DataFrame
     links: DataFrame
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links: bool = False) -> Join:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links: bool = False, count_links: bool = False) -> Join:
     """Join ``docs`` (doc_id bigint, text) with itself.  See the module for the method and edge cases."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -443,8 +514,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
         links = stash(links.unionByName(verify(docs, stash(plausible(rest, classes, percent), "plausible"), n, percent)), "links")
         comps = stash(components(links.select("a", "b")), "components")
     named = component(classes.select("setkey", F.col("rep").alias("class_id")), "class_id", "component_id")
+    if count_links:
+        named = stash(named, "named")
+        named = named.join(stash(link_counts(docs, named, n, percent), "counts"), "setkey", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     documents = sig.select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), "setkey").join(named, "setkey", "left")
     empty = F.col("component_id").isNull() | F.col("doc_id").isNull()
     own = F.when(empty, F.col("doc_id"))
-    documents = documents.select("doc_id", "n_shingles", own.otherwise(F.col("class_id")).alias("class_id"), own.otherwise(F.col("component_id")).alias("component_id"))
+    documents = documents.select("doc_id", "n_shingles", own.otherwise(F.col("class_id")).alias("class_id"), own.otherwise(F.col("component_id")).alias("component_id"), *([F.when(empty, 0).otherwise(F.col("n_links")).alias("n_links")] if count_links else []))
     return Join(documents, links)

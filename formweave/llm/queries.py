@@ -50,8 +50,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formweave.llm import jaccard_join
 
-    found = jaccard_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
-    return found.documents.select("doc_id", "n_shingles", "component_id", "class_id")
+    found = jaccard_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85, count_links=True)
+    return found.documents.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
