@@ -16,9 +16,13 @@ mapped through all layers back to the span of the original text that encodes
 them; compressed bytes map to their whole base64 run.
 
 Edge cases: null counts as the empty text (no spans); each span is listed once
-per kind; offsets are code points, ends exclusive.  A compressed member that
-would expand past ``MAX_EXPANDED`` bytes stays wrapped (it is reported by
-``expanded_too_far``), since no worker could hold it; that is the only bound.
+per kind; offsets are code points, ends exclusive.  Compressed data that would
+expand past ``MAX_EXPANDED`` bytes stay wrapped, since no worker could hold them
+(``expanded_too_far`` counts them in every layer); they are scanned in windows of
+``WINDOW`` bytes that overlap by ``OVERLAP``, and their secrets span the whole
+run (compressed data inside such data are not opened).  A base64 run goes on over single line breaks; one that does not decode as
+a whole is tried behind ``/``, ``_`` and ``-``, then at each alignment, where
+clean stretches of ``LEAST_CLEAN`` characters and compressed data count.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -44,7 +49,18 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE_ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Digits of a run at least, and characters of a clean stretch inside a run that does not decode as a whole.
+LEAST_DIGITS, LEAST_CLEAN = 12, 12
+#: Bytes expanded at a time, and the windows over members past MAX_EXPANDED.
+PIECE, WINDOW, OVERLAP = 1 << 20, 8 << 20, 1 << 16
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_SEPARATOR = re.compile(r"[/_-]")
+_MEMBER = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_CLEAN = re.compile(  # UTF-8 without control characters
+    rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}" % LEAST_CLEAN
+)
 
 Span = tuple[int, int, int]  # start, end, place of the kind in KINDS
 
@@ -103,39 +119,68 @@ class _Layer:
         return _Layer("".join(out), pieces)
 
 
-def _expand(data: bytes) -> bytes | None:
-    """One layer of compression off, or None.  Raises OverflowError past MAX_EXPANDED."""
+def _opened(head: bytes):
+    """A decompressor for data that starts like this, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _stream(data: bytes) -> Iterator[bytes]:
+    """What the members of compressed data expand to, a piece of at most PIECE bytes at a time; ends where they break."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            d = zstandard.ZstdDecompressor().decompressobj()
-            out, step = b"", 1 << 16
-            for i in range(0, len(data), step):
-                out += d.decompress(data[i : i + step])
-                if len(out) > MAX_EXPANDED:
-                    raise OverflowError
-            return out
-        else:
-            return None
-        out = d.decompress(data, MAX_EXPANDED + 1)
-        if len(out) > MAX_EXPANDED:
-            raise OverflowError
-        return out
+        while data:
+            if data[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                    while piece := reader.read(PIECE):
+                        yield piece
+                return
+            d = _opened(data)
+            if d is None:
+                return
+            while data or not d.eof:
+                piece = d.decompress(data, PIECE)
+                data = d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b""
+                if piece:
+                    yield piece
+                if d.eof or not piece and (not data or getattr(d, "needs_input", False)):
+                    break
+            data = d.unused_data if d.eof else b""
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+        return
     except Exception as e:
-        if type(e).__module__.startswith("zstandard") or type(e).__name__ == "ZstdError":
-            return None
-        raise
+        if not type(e).__module__.startswith("zstandard") and type(e).__name__ != "ZstdError":
+            raise
+
+
+def _expand(data: bytes) -> bytes | None:
+    """One layer of compression off all members, or None.  Raises OverflowError past MAX_EXPANDED."""
+    out, size = [], 0
+    for piece in _stream(data):
+        out.append(piece)
+        size += len(piece)
+        if size > MAX_EXPANDED:
+            raise OverflowError
+    return b"".join(out) or None
+
+
+def _windows(data: bytes) -> Iterator[str]:
+    """Overlapping windows over the text of members that are too large to hold."""
+    held = b""
+    for piece in _stream(data):
+        held += piece
+        if len(held) >= WINDOW:
+            yield held.decode(errors="replace")
+            held = held[-OVERLAP:]
+    yield held.decode(errors="replace")
 
 
 def _readable(data: bytes) -> str | None:
@@ -183,38 +228,108 @@ def _escapes(text: str) -> list:
     return cuts
 
 
-def _base64(text: str) -> tuple[list, int]:
-    cuts, too_far = [], 0
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        # "token=<run>" may glue "=" signs on; the run itself decides
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.translate(_URLSAFE) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
+def _parts(data: bytes, at: list[int], first: int, last: int) -> list[tuple[str, int, int]]:
+    """One part per character of clean data: byte i comes from digits 4i/3 .. 4(i+1)/3, which are at[...] in the text."""
+    parts, i, digits = [], 0, len(at)
+    for c in data.decode():
+        n = len(c.encode())
+        parts.append((c, at[(first + i) * 4 // 3], at[min(digits, -(-(first + i + n) * 4 // 3)) - 1] + 1))
+        i += n
+    return parts[:-1] + [(parts[-1][0], parts[-1][1], max(parts[-1][2], last))]
+
+
+def _bytes(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)].translate(_URLSAFE)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+class _Run:
+    """What one base64 run gives: cuts, kinds of secrets in members too large to hold, and the number of those."""
+
+    def __init__(self) -> None:
+        self.cuts: list = []
+        self.large: list[Span] = []
+        self.too_far = 0
+
+    def unpacked(self, data: bytes, start: int, end: int) -> bool:
+        """Whether the data are compressed; a cut if they expand to clean text."""
         packed, whole = data, None
         try:
             while (more := _expand(packed)) is not None and more != packed:
                 packed = whole = more
         except OverflowError:
-            too_far += 1
-            continue
-        decoded = _readable(packed)
-        if decoded is None:
+            self.too_far += 1
+            kinds = {kind for w in _windows(packed) for _, _, kind in scan(w)[1]}
+            self.large += [(start, end, kind) for kind in kinds]
+            return True
+        if whole is None:
+            return False
+        if (decoded := _readable(whole)) is not None:
+            self.cuts.append((start, end, [(decoded, start, end)]))
+        return decoded is not None
+
+    def whole(self, body: str, at: list[int], end: int) -> bool:
+        """The digits as one run."""
+        if len(body) < LEAST_DIGITS or len(body) % 4 == 1:
+            return False
+        data = _bytes(body)
+        if self.unpacked(data, at[0], end):
+            return True
+        if _readable(data) is None:
+            return False
+        self.cuts.append((at[0], end, _parts(data, at, 0, end)))
+        return True
+
+    def glued(self, body: str, at: list[int], end: int) -> None:
+        """Digits that do not decode as one run: clean stretches and compressed data at each alignment, longest first."""
+        found = []
+        for shift in range(4):
+            data = _bytes(body[shift:])
+            for m in _MEMBER.finditer(data):
+                digit = shift + m.start() * 4 // 3
+                if m.start() % 3 == 0 and self.unpacked(data[m.start() :], at[digit], end):
+                    body, at = body[:digit], at[:digit]  # the rest of the run is the member
+                    break
+            found += [(m.end() - m.start(), shift, m.start(), m[0]) for m in _CLEAN.finditer(data)]
+        taken: list[tuple[int, int]] = []
+        for size, shift, first, piece in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            a, b = shift + first * 4 // 3, min(len(body), shift + -(-(first + size) * 4 // 3))
+            if b - a < size * 4 // 3 or any(a < y and x < b for x, y in taken):
+                continue
+            parts = _parts(piece, at[shift:], first, 0)
+            taken.append((a, b))
+            self.cuts.append((parts[0][1], parts[-1][2], parts))
+
+
+def _base64(text: str) -> tuple[list, list[Span], int]:
+    """Cuts of the base64 runs, spans of secrets in members too large to hold, and the number of those."""
+    out = _Run()
+    for m in _BASE64.finditer(text):
+        # a run spans single line breaks; its lines are tried alone if it fails, then behind separators and at other alignments
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        at = [i for a, b in lines for i in range(a, b)]
+        if out.whole("".join(text[a:b] for a, b in lines), at, m.end()):
             continue
-        if whole is not None:
-            parts = [(decoded, m.start(), m.end())]
-        else:  # one part per character: byte i comes from digits 4i/3 .. 4(i+1)/3
-            parts, at = [], 0
-            for c in decoded:
-                n = len(c.encode())
-                parts.append((c, m.start() + at * 4 // 3, m.start() + min(len(body), -(-(at + n) * 4 // 3))))
-                at += n
-            parts[-1] = (parts[-1][0], parts[-1][1], m.end())
-        cuts.append((m.start(), m.end(), parts))
-    return cuts, too_far
+        before = len(out.cuts)
+        if len(lines) > 1:
+            out.glued("".join(text[a:b] for a, b in lines), at, m.end())
+            if len(out.cuts) > before:
+                continue
+        for a, b in lines:
+            end = m.end() if b == lines[-1][1] else b
+            body, at = text[a:b], list(range(a, b))
+            if len(lines) > 1 and out.whole(body, at, end):
+                continue
+            starts = [x.end() - a for x in _SEPARATOR.finditer(body)]
+            if not any(out.whole(body[x:], at[x:], end) for x in starts) and len(body) >= LEAST_DIGITS:
+                out.glued(body, at, end)
+    out.cuts.sort(key=lambda c: c[:2])
+    apart, last = [], 0
+    for cut in out.cuts:
+        if cut[0] >= last:
+            apart.append(cut)
+            last = cut[1]
+    return apart, out.large, out.too_far
 
 
 _URLSAFE = str.maketrans("-_", "+/")
@@ -237,8 +352,11 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
             makers.append(_percent(layer.text))
         if "\\" in layer.text:
             makers.append(_escapes(layer.text))
-        cuts, packed = _base64(layer.text)
-        too_far += packed if layer.text is text else 0
+        cuts, large, packed = _base64(layer.text)
+        too_far += packed
+        for a, b, kind in large:
+            left, right, _ = layer.origin(a, b)
+            found.add((left, right, kind))
         makers.append(cuts)
         for cuts in makers:
             if cuts:
