@@ -197,7 +197,7 @@ def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, n
             if len(seen) > SEEN_SETS:
                 seen.clear()
             sizes, sets, groups, sketches, prefixes = [], [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), n):
+            for s, named in zip(shingle_sets(batch.column(1).to_pylist(), n), batch.column(0).is_valid().to_pylist(), strict=True):
                 sizes.append(len(s))
                 if not len(s):
                     sets.append(None)
@@ -217,8 +217,9 @@ def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, n
                 sets.append(key)
                 groups.append(xxhash.xxh3_64_intdigest(head.tobytes() + len(s).to_bytes(8, "little")) - (1 << 63))
                 sketches.append(sketch(s))
-                prefixes.append(None if key in seen else head.view(np.int64))
-                seen.add(key)
+                prefixes.append(None if key in seen or not named else head.view(np.int64))
+                if named:  # rows without an id are left out, so they carry no prefix for others
+                    seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "setkey", "ghash", "sketch", "prefix"]
             )

@@ -29,3 +29,12 @@ def test_query_gives_links(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_links for r in queries.op7_ngram_jaccard_join(spark, str(tmp_path)).collect()}
     assert got == dict(zip([i for i, _ in rows], brute_links([t for _, t in rows], 4, 85), strict=True))
+
+
+def test_null_id_comes_first(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base, "more"])  # of another size, so of another group
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (None, near), (9, near)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.ngram_jaccard_join(d, 4, 85, count_links=True).documents.collect()}
+    assert got == {None: (None, 0), 7: (7, 1), 9: (7, 1)}
