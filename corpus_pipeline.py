@@ -25,15 +25,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """Adds ``one``: doc_id, but an id of its own, above all others, for each further text of a repeated doc_id."""
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    clash = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high")
+    clash = stash(clash.select("doc_id", "low"), "clash")
+    if clash.isEmpty():
+        return docs.withColumn("one", F.col("doc_id")).drop("hash")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    more = docs.join(clash, "doc_id").where("hash <> low").select("doc_id", "hash").distinct()
+    more = stash(more.withColumn("own", F.monotonically_increasing_id() + F.lit(top + 1)), "further")
+    return docs.join(more, ["doc_id", "hash"], "left").withColumn("one", F.coalesce("own", "doc_id")).drop("hash", "own")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5 words, 0.8) the document of the smallest id stays; rows without an id all stay."""
+    """Of each component of near copies (5 words, 0.8) the document of the smallest id stays; rows without an id all stay.
+
+    Different texts that share an id are documents of their own, of which all but one come after all ids."""
     docs = docs.select(*COLUMNS)
-    joined = jaccard_join.ngram_jaccard_join(docs, n=5, percent=80).documents
-    ids = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = _told_apart(docs)
+    joined = jaccard_join.ngram_jaccard_join(rows.select(F.col("one").alias("doc_id"), "text"), n=5, percent=80).documents
+    ids = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("one")).distinct()
+    kept = rows.join(ids, "one", "left_semi")
+    once = Window.partitionBy("one").orderBy(F.xxhash64("text"))
     kept = kept.withColumn("copy", F.row_number().over(once)).where(F.col("copy") == 1).drop("copy")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    return kept.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
