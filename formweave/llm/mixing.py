@@ -35,8 +35,9 @@ from formweave.llm.common import stash
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, 41
 #: Slices of the hash in which documents of one length are ranked.
 SLICES = 64
-#: The programme's budget at most, in words: the proportional part leaves about this much to fill.
-EXACT = 1 << 15
+#: The programme's budget at most, in words: the proportional part leaves about this much to fill; and
+#: bytes of the sets of sums at most, where it is given more.
+EXACT, MOST_BYTES = 1 << 15, 1 << 28
 
 
 def words(text: Column) -> Column:
@@ -71,7 +72,22 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take: their words sum to the budget or to the most reachable below it."""
+    """How many documents of each length to take: their words sum to the budget or to the most reachable below it.
+
+    Where the programme ends below the budget, it takes over more of the proportional part, four times as much
+    each time, until it has the whole budget or its sets of sums would take ``MOST_BYTES``; only beyond that
+    bound the sum may be below the most reachable."""
+    step = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)], initial=0))
+    exact, log = EXACT, int(sum(int(c).bit_length() for c in counts))
+    while True:
+        taken = _fit(lengths, counts, budget, exact)
+        short = budget - int((lengths * taken).sum())
+        if budget <= exact or short < max(1, step) or (lengths * (counts - taken)).sum() == 0 or exact // 2 * log > MOST_BYTES:
+            return taken
+        exact *= 4
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int) -> np.ndarray:
     taken = np.zeros(len(lengths), np.int64)
     use = (lengths > 0) & (counts > 0)
     if not use.any() or budget <= 0:
@@ -79,14 +95,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts)[use].sum())
     if total <= budget:
         return np.where(use, counts, 0)
-    # the proportional part leaves EXACT words or so to the programme
-    part = max(0.0, (budget - EXACT) / total)
+    # the proportional part leaves exact words or so to the programme
+    part = max(0.0, (budget - exact) / total)
     taken[use] = np.floor(counts[use] * part).astype(np.int64)
     rest = budget - int((lengths * taken).sum())
-    if rest > EXACT:  # rounding down left more: longest first, what fits whole
+    if rest > exact:  # rounding down left more: longest first, what fits whole
         for i in np.argsort(-lengths, kind="stable"):
-            if use[i] and rest > EXACT:
-                more = min(int(counts[i] - taken[i]), (rest - EXACT) // int(lengths[i]))
+            if use[i] and rest > exact:
+                more = min(int(counts[i] - taken[i]), (rest - exact) // int(lengths[i]))
                 taken[i] += more
                 rest -= more * int(lengths[i])
     # bounded knapsack over the remaining counts: reach[s] is the least place of a length that completes sum s.
