@@ -8,20 +8,27 @@ Base kinds, each matched leftmost and non-overlapping over the whole text:
 
 A worklist then unwraps layers until nothing new appears: percent escapes,
 backslash-u / backslash-x escapes, base64 runs, and compressed data (gzip, zlib,
-bzip2, xz, zstandard) inside base64.  A layer is the text with all segments of
-one encoding replaced by what they decode to, so a secret whose name is plain
-and whose value is encoded is found too.  Layers already seen are not queued
-again, which ends cycles.  Matches of a layer that touch decoded characters are
-mapped through all layers back to the span of the original text that encodes
-them; compressed bytes map to their whole base64 run.
+bzip2, xz, zstandard) inside base64, percent escapes or backslash-x escapes.  A
+layer is the text with all segments of one encoding replaced by what they decode
+to, so a secret whose name is plain and whose value is encoded is found too.
+Layers already seen are not queued again, which ends cycles; compressed data
+inside compressed data are unwrapped with a set of what was seen as well.
+Escapes of escapes are taken off one level, and then all levels at once (one
+pass with a stack), so that deep nesting costs no square of its depth.
+Matches of a layer that touch decoded characters are mapped through all layers
+back to the span of the original text that encodes them; compressed bytes map to
+their whole run.
 
 Edge cases: null counts as the empty text (no spans); each span is listed once
-per kind; offsets are code points, ends exclusive.  Compressed data that would
-expand past ``MAX_EXPANDED`` bytes stay wrapped, since no worker could hold them
-(``expanded_too_far`` counts them in every layer); they are scanned in windows of
-``WINDOW`` bytes that overlap by ``OVERLAP``, and their secrets span the whole
-run (compressed data inside such data are not opened).  A base64 run goes on over single line breaks; one that does not decode as
-a whole is tried behind ``/``, ``_`` and ``-``, then at each alignment, where
+per kind; offsets are code points, ends exclusive; rows are independent, so
+repeated rows and extra columns change nothing, and an empty table gives an
+empty result.  All members of concatenated compressed data count.  Data that
+expand past ``MAX_EXPANDED`` bytes are not held: they (and compressed data in
+them, to any depth) are read as a stream in windows of ``WINDOW`` bytes that
+overlap by ``OVERLAP``, and their secrets span the whole run
+(``expanded_too_far`` counts such data in every layer).  A base64 run goes on
+over single line breaks; it counts as text in UTF-8 or, if every other byte is
+zero, UTF-16.  One that is no text as a whole is tried at each alignment, where
 clean stretches of ``LEAST_CLEAN`` characters and compressed data count.
 """
 
@@ -35,8 +42,10 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote_to_bytes
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from formweave.llm.common import map_batches, text_frame
@@ -48,6 +57,27 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+#: Runs that may nest escapes, and where compressed data start under escapes (fixed values of the formats).
+_NESTED = re.compile(r"[%\\0-9A-Fa-fxuU{}]{3,}")
+_DEEPER = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
+_PERCENT_DATA = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+_BACKSLASH_DATA = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[nrt0\\'\"]|[ -!#-&(-\[\]-~])+")
+_STARTS = (b"\x1f\x8b\x08", *(b"BZh%d1AY" % level for level in range(1, 10)), b"\xfd7zXZ", b"\x28\xb5\x2f\xfd", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+
+
+def _escaped_start(mark: str) -> re.Pattern[str]:
+    """The starts, each byte under an escape or, if printable, as it is; at least one under an escape."""
+
+    def one(b: int) -> str:
+        coded = mark + "".join(c if c.isdigit() else f"[{c}{c.upper()}]" for c in f"{b:02x}")
+        return f"(?:{coded}|{re.escape(chr(b))})" if 32 < b < 127 else coded
+
+    return re.compile("|".join(f"(?=[!-~]{{0,12}}{mark}){''.join(map(one, start))}" for start in _STARTS))
+
+
+_PERCENT_MEMBER, _BACKSLASH_MEMBER = _escaped_start("%"), _escaped_start(r"\\x")
+_BACKSLASH_ONE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|(.))")
+_BACKSLASH_BYTES = {"n": 10, "r": 13, "t": 9, "0": 0, "\\": 92, "'": 39, '"': 34}
 _ESCAPE_ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 #: Digits of a run at least, and characters of a clean stretch inside a run that does not decode as a whole.
 LEAST_DIGITS, LEAST_CLEAN = 12, 12
@@ -55,7 +85,6 @@ LEAST_DIGITS, LEAST_CLEAN = 12, 12
 PIECE, WINDOW, OVERLAP = 1 << 20, 8 << 20, 1 << 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-_SEPARATOR = re.compile(r"[/_-]")
 _MEMBER = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _CLEAN = re.compile(  # UTF-8 without control characters
     rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -76,23 +105,62 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+class _Cut:
+    """A segment [start, end) of a layer and the text it decodes to; ``left`` and ``right`` hold the part of the
+    layer behind each character (ascending), or are None if every character stands for the whole segment."""
+
+    __slots__ = ("start", "end", "text", "left", "right")
+
+    def __init__(self, start: int, end: int, text: str, left=None, right=None):
+        self.start, self.end, self.text = start, end, text
+        self.left, self.right = (None if x is None else np.asarray(x, np.int64) for x in (left, right))
+
+
+class _Piece:
+    """A run of a layer's text from ``at`` on, and the original text behind it: the same characters from ``left`` on
+    (plain), a span for each character (arrays), or one span for all of them."""
+
+    __slots__ = ("at", "left", "right", "plain")
+
+    def __init__(self, at: int, left, right, plain: bool):
+        self.at, self.left, self.right, self.plain = at, left, right, plain
+
+    def lefts(self, where: np.ndarray) -> np.ndarray:
+        if self.plain:
+            return where - self.at + self.left
+        return self.left[where - self.at] if isinstance(self.left, np.ndarray) else np.full(len(where), self.left)
+
+    def rights(self, where: np.ndarray) -> np.ndarray:
+        """Of the last characters ``where``."""
+        if self.plain:
+            return where - self.at + self.left + 1
+        return self.right[where - self.at] if isinstance(self.right, np.ndarray) else np.full(len(where), self.right)
+
+
 class _Layer:
-    """A text made from a parent by replacing segments.  A piece maps a run of
-    this text to a run of the *original* text: (start here, start there, end there, plain)."""
+    """A text made from a parent by replacing segments, with the original spans behind it in pieces."""
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
-        self.text, self.pieces, self.starts = text, pieces, [p[0] for p in pieces]
+    def __init__(self, text: str, pieces: list[_Piece]):
+        self.text, self.pieces, self.starts = text, pieces, [p.at for p in pieces]
 
     def origin(self, start: int, end: int) -> tuple[int, int, bool]:
         """The original span behind [start, end), and whether any of it was decoded."""
         i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
-        a, b = self.pieces[i], self.pieces[j]
-        left = a[1] + (start - a[0]) if a[3] else a[1]
-        right = b[1] + (end - b[0]) if b[3] else b[2]
-        return left, right, not all(p[3] for p in self.pieces[i : j + 1])
-
-    def replace(self, cuts: list[tuple[int, int, list[tuple[str, int, int]]]]) -> "_Layer":
-        """Each cut is (start, end, parts) with parts (decoded, start, end) over this layer's text."""
+        left = self.pieces[i].lefts(np.array([start]))[0]
+        right = self.pieces[j].rights(np.array([end - 1]))[0]
+        return int(left), int(right), not all(p.plain for p in self.pieces[i : j + 1])
+
+    def _behind(self, where: np.ndarray, of_last: bool) -> np.ndarray:
+        """Original places behind ascending places of this layer."""
+        piece = np.searchsorted(self.starts, where, side="right") - 1
+        cut = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        out = []
+        for a, b in zip(cut, np.append(cut[1:], len(where)), strict=True):
+            p = self.pieces[piece[a]]
+            out.append(p.rights(where[a:b]) if of_last else p.lefts(where[a:b]))
+        return np.concatenate(out)
+
+    def replace(self, cuts: list[_Cut]) -> "_Layer":
         out, pieces, size, at = [], [], 0, 0
 
         def keep(a: int, b: int) -> None:
@@ -101,20 +169,27 @@ class _Layer:
             while a < b:
                 stop = min(b, self.starts[i + 1] if i + 1 < len(self.starts) else b)
                 p = self.pieces[i]
-                pieces.append((size, p[1] + (a - p[0]), p[1] + (stop - p[0]), True) if p[3] else (size, p[1], p[2], False))
+                if p.plain:
+                    pieces.append(_Piece(size, p.left + a - p.at, None, True))
+                elif isinstance(p.left, np.ndarray):
+                    pieces.append(_Piece(size, p.left[a - p.at : stop - p.at], p.right[a - p.at : stop - p.at], False))
+                else:
+                    pieces.append(_Piece(size, p.left, p.right, False))
                 out.append(self.text[a:stop])
                 size += stop - a
                 a, i = stop, i + 1
 
-        for start, end, parts in cuts:
-            keep(at, start)
-            for decoded, a, b in parts:
-                if decoded:
-                    left, right, _ = self.origin(a, b)
-                    pieces.append((size, left, right, False))
-                    out.append(decoded)
-                    size += len(decoded)
-            at = end
+        for c in cuts:
+            keep(at, c.start)
+            if c.text:
+                if c.left is None:
+                    left, right, _ = self.origin(c.start, c.end)
+                    pieces.append(_Piece(size, left, right, False))
+                else:
+                    pieces.append(_Piece(size, self._behind(c.left, False), self._behind(c.right - 1, True), False))
+                out.append(c.text)
+                size += len(c.text)
+            at = c.end
         keep(at, len(self.text))
         return _Layer("".join(out), pieces)
 
@@ -129,31 +204,44 @@ def _opened(head: bytes):
         return bz2.BZ2Decompressor()
     if head[:6] == b"\xfd7zXZ\x00":
         return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
-def _stream(data: bytes) -> Iterator[bytes]:
-    """What the members of compressed data expand to, a piece of at most PIECE bytes at a time; ends where they break."""
+def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What the members of compressed data expand to, some PIECE bytes at a time; ends where they break."""
+    data, d = b"", None
     try:
-        while data:
-            if data[:4] == b"\x28\xb5\x2f\xfd":
-                import zstandard
-
-                with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
-                    while piece := reader.read(PIECE):
-                        yield piece
-                return
-            d = _opened(data)
-            if d is None:
-                return
-            while data or not d.eof:
-                piece = d.decompress(data, PIECE)
-                data = d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b""
-                if piece:
-                    yield piece
-                if d.eof or not piece and (not data or getattr(d, "needs_input", False)):
-                    break
-            data = d.unused_data if d.eof else b""
+        for chunk in chunks:
+            data += chunk
+            while data:
+                if d is None:
+                    if len(data) < 6:
+                        break
+                    d = _opened(data)
+                    if d is None:
+                        return
+                if hasattr(d, "unconsumed_tail") and hasattr(d, "copy"):  # zlib
+                    out = d.decompress(data, PIECE)
+                    data = d.unused_data if d.eof else d.unconsumed_tail
+                elif hasattr(d, "needs_input"):  # bzip2, xz
+                    out = d.decompress(data, PIECE)
+                    while not d.eof and not d.needs_input:
+                        if out:
+                            yield out
+                        out = d.decompress(b"", PIECE)
+                    data = d.unused_data if d.eof else b""
+                else:  # zstandard has no bound on what comes out, so little goes in
+                    some, data = data[:256], data[256:]
+                    out = d.decompress(some)
+                    data = d.unused_data + data if d.eof else data
+                if out:
+                    yield out
+                if d.eof:
+                    d = None
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return
     except Exception as e:
@@ -161,10 +249,14 @@ def _stream(data: bytes) -> Iterator[bytes]:
             raise
 
 
+def _slices(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
+
+
 def _expand(data: bytes) -> bytes | None:
     """One layer of compression off all members, or None.  Raises OverflowError past MAX_EXPANDED."""
     out, size = [], 0
-    for piece in _stream(data):
+    for piece in _members(_slices(data)):
         out.append(piece)
         size += len(piece)
         if size > MAX_EXPANDED:
@@ -173,16 +265,29 @@ def _expand(data: bytes) -> bytes | None:
 
 
 def _windows(data: bytes) -> Iterator[str]:
-    """Overlapping windows over the text of members that are too large to hold."""
+    """Overlapping windows over the text of members that are too large to hold, with all compression off."""
+    pieces, seen = _members(_slices(data)), set()
+    while (head := next(pieces, None)) is not None:
+        pieces = _chained(head, pieces)
+        key = hashlib.sha256(head).digest()
+        if key in seen or next(_members([head]), None) is None:
+            break
+        seen.add(key)
+        pieces = _members(pieces)
     held = b""
-    for piece in _stream(data):
+    for piece in pieces:
         held += piece
-        if len(held) >= WINDOW:
-            yield held.decode(errors="replace")
-            held = held[-OVERLAP:]
+        while len(held) >= WINDOW:
+            yield held[:WINDOW].decode(errors="replace")
+            held = held[WINDOW - OVERLAP :]
     yield held.decode(errors="replace")
 
 
+def _chained(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield head
+    yield from rest
+
+
 def _readable(data: bytes) -> str | None:
     """Decoded text if the bytes are UTF-8 without control characters other than white space."""
     try:
@@ -192,50 +297,121 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _percent(text: str) -> list:
+def _wide(data: bytes) -> str | None:
+    """Text in little-endian UTF-16, if every other byte is zero."""
+    return _readable(data[::2]) if len(data) > 1 and not len(data) % 2 and not any(data[1::2]) else None
+
+
+def _percent(text: str) -> list[_Cut]:
     cuts = []
     for m in _PERCENT.finditer(text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        parts, i = [], 0
-        while i < len(data):  # one part per character, so that spans stay exact
+        parts, left, right, i = [], [], [], 0
+        while i < len(data):  # one span per character
             n = 1 if data[i] < 0xC0 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
             try:
-                parts.append((data[i : i + n].decode(), m.start() + 3 * i, m.start() + 3 * min(i + n, len(data))))
+                c = data[i : i + n].decode()
             except UnicodeDecodeError:
                 n = 1
-                parts.append((m[0][3 * i : 3 * i + 3], m.start() + 3 * i, m.start() + 3 * i + 3))
+                c = m[0][3 * i : 3 * i + 3]
+            parts.append(c)
+            left += [m.start() + 3 * i] * len(c)
+            right += [m.start() + 3 * min(i + n, len(data))] * len(c)
             i += n
-        if any(len(p[0]) < p[2] - p[1] for p in parts):
-            cuts.append((m.start(), m.end(), parts))
+        decoded = "".join(parts)
+        if decoded != m[0]:
+            cuts.append(_Cut(m.start(), m.end(), decoded, left, right))
     return cuts
 
 
-def _escapes(text: str) -> list:
+def _escapes(text: str) -> list[_Cut]:
     cuts = []
     for m in _ESCAPE.finditer(text):
-        parts = []
+        parts: list[str] = []
+        spans: list[tuple[int, int]] = []
         for x in _ESCAPE_ONE.finditer(text, m.start(), m.end()):
             code = int(x[1] or x[2], 16)
-            if 0xDC00 <= code < 0xE000 and parts and len(parts[-1][0]) == 6 and parts[-1][0][2] in "dD" and parts[-1][0][3] in "89abAB":
-                high, a, _ = parts.pop()  # a surrogate pair
-                parts.append((chr(0x10000 + ((int(high[2:], 16) - 0xD800) << 10) + code - 0xDC00), a, x.end()))
-            elif 0xD800 <= code < 0xE000 or code > 0x10FFFF:
-                parts.append((x[0], x.start(), x.end()))
+            if 0xDC00 <= code < 0xE000 and parts and len(parts[-1]) == 6 and parts[-1][2] in "dD" and parts[-1][3] in "89abAB":
+                high, (a, _) = parts.pop(), spans.pop()  # a surrogate pair
+                parts.append(chr(0x10000 + ((int(high[2:], 16) - 0xD800) << 10) + code - 0xDC00))
+                spans.append((a, x.end()))
             else:
-                parts.append((chr(code), x.start(), x.end()))
-        if any(len(p[0]) < p[2] - p[1] for p in parts):
-            cuts.append((m.start(), m.end(), parts))
+                parts.append(x[0] if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code))
+                spans.append(x.span())
+        decoded = "".join(parts)
+        if decoded != m[0]:
+            sizes = [len(c) for c in parts]
+            cuts.append(_Cut(m.start(), m.end(), decoded, np.repeat([a for a, _ in spans], sizes), np.repeat([b for _, b in spans], sizes)))
+    return cuts
+
+
+def _fixpoint(text: str) -> list[_Cut]:
+    """All levels of nested percent and backslash escapes at once: each character goes onto a stack, and whenever its
+    top is an escape, what that stands for takes its place.  Bytes from 0x80 on are put together at the end."""
+    cuts = []
+    for m in _NESTED.finditer(text):
+        if "%" not in m[0] and "\\" not in m[0]:
+            continue
+        chars: list[str] = []
+        left: list[int] = []
+        right: list[int] = []
+
+        def reduced(n: int, code: int, byte: bool, chars=chars, left=left, right=right) -> None:
+            del chars[-n:]
+            del left[1 - n + len(left) :]
+            end = right[-1]
+            del right[-n:]
+            right.append(end)
+            chars.append(chr(0xDC00 + code) if byte and code >= 0x80 else chr(code))
+
+        for i, c in enumerate(m[0], m.start()):
+            chars.append(c)
+            left.append(i)
+            right.append(i + 1)
+            while len(chars) > 2:
+                top = "".join(chars[-10:])
+                x = _TOP.search(top)
+                if not x:
+                    break
+                code = int(next(g for g in x.groups() if g), 16)
+                if 0xD800 <= code < 0xE000 or code > 0x10FFFF:
+                    break
+                reduced(len(x[0]), code, top[x.start()] == "%" or x[0][1:2] == "x")
+        decoded, begin, end, k = [], [], [], 0
+        while k < len(chars):
+            n = 1
+            c = chars[k]
+            if "\udc80" <= c <= "\udcff":
+                run = bytes(ord(x) - 0xDC00 for x in chars[k : k + 4] if "\udc80" <= x <= "\udcff")
+                c = "�"
+                for size in (2, 3, 4):
+                    try:
+                        c, n = run[:size].decode(), size
+                        break
+                    except UnicodeDecodeError:
+                        continue
+            decoded.append(c)
+            begin.append(left[k])
+            end.append(right[k + n - 1])
+            k += n
+        if (found := "".join(decoded)) != m[0]:
+            cuts.append(_Cut(m.start(), m.end(), found, begin, end))
     return cuts
 
 
-def _parts(data: bytes, at: list[int], first: int, last: int) -> list[tuple[str, int, int]]:
-    """One part per character of clean data: byte i comes from digits 4i/3 .. 4(i+1)/3, which are at[...] in the text."""
-    parts, i, digits = [], 0, len(at)
-    for c in data.decode():
-        n = len(c.encode())
-        parts.append((c, at[(first + i) * 4 // 3], at[min(digits, -(-(first + i + n) * 4 // 3)) - 1] + 1))
-        i += n
-    return parts[:-1] + [(parts[-1][0], parts[-1][1], max(parts[-1][2], last))]
+_TOP = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\})\Z")
+
+
+def _parts(data: bytes, at: np.ndarray, first: int, last: int, wide: bool = False) -> _Cut:
+    """A cut with one span per character of clean data: byte i comes from digits 4i/3 .. 4(i+1)/3, which are at[...] in the text."""
+    text = data[::2].decode() if wide else data.decode()
+    raw = np.frombuffer(data[::2] if wide else data, np.uint8)
+    begin = np.flatnonzero((raw & 0xC0) != 0x80) * (2 if wide else 1)
+    end = np.append(begin[1:], len(data))
+    left = at[(first + begin) * 4 // 3]
+    right = at[np.minimum(len(at), -(-(first + end) * 4 // 3)) - 1] + 1
+    right[-1] = max(int(right[-1]), last)
+    return _Cut(int(left[0]), int(right[-1]), text, left, right)
 
 
 def _bytes(body: str) -> bytes:
@@ -244,102 +420,125 @@ def _bytes(body: str) -> bytes:
 
 
 class _Run:
-    """What one base64 run gives: cuts, kinds of secrets in members too large to hold, and the number of those."""
+    """What the runs of one encoding give: cuts, secrets in data too large to hold, and the number of those."""
 
     def __init__(self) -> None:
-        self.cuts: list = []
+        self.cuts: list[_Cut] = []
         self.large: list[Span] = []
         self.too_far = 0
 
     def unpacked(self, data: bytes, start: int, end: int) -> bool:
-        """Whether the data are compressed; a cut if they expand to clean text."""
-        packed, whole = data, None
+        """Whether the data are compressed; a cut with what they expand to, as far as compression goes."""
+        packed, seen = data, {hashlib.sha256(data).digest()}
         try:
-            while (more := _expand(packed)) is not None and more != packed:
-                packed = whole = more
+            while (more := _expand(packed)) is not None:
+                packed = more
+                if (key := hashlib.sha256(more).digest()) in seen:
+                    break
+                seen.add(key)
         except OverflowError:
             self.too_far += 1
             kinds = {kind for w in _windows(packed) for _, _, kind in scan(w)[1]}
             self.large += [(start, end, kind) for kind in kinds]
             return True
-        if whole is None:
+        if packed is data:
             return False
-        if (decoded := _readable(whole)) is not None:
-            self.cuts.append((start, end, [(decoded, start, end)]))
-        return decoded is not None
+        self.cuts.append(_Cut(start, end, packed.decode(errors="replace")))
+        return True
 
-    def whole(self, body: str, at: list[int], end: int) -> bool:
+    def whole(self, body: str, at: np.ndarray, end: int) -> bool:
         """The digits as one run."""
         if len(body) < LEAST_DIGITS or len(body) % 4 == 1:
             return False
         data = _bytes(body)
-        if self.unpacked(data, at[0], end):
+        if self.unpacked(data, int(at[0]), end):
             return True
-        if _readable(data) is None:
+        wide = _wide(data) is not None
+        if not wide and _readable(data) is None:
             return False
-        self.cuts.append((at[0], end, _parts(data, at, 0, end)))
+        cut = _parts(data, at, 0, end, wide)
+        cut.start, cut.end = int(at[0]), end
+        self.cuts.append(cut)
         return True
 
-    def glued(self, body: str, at: list[int], end: int) -> None:
+    def glued(self, body: str, at: np.ndarray, end: int) -> None:
         """Digits that do not decode as one run: clean stretches and compressed data at each alignment, longest first."""
         found = []
         for shift in range(4):
             data = _bytes(body[shift:])
             for m in _MEMBER.finditer(data):
                 digit = shift + m.start() * 4 // 3
-                if m.start() % 3 == 0 and self.unpacked(data[m.start() :], at[digit], end):
+                if m.start() % 3 == 0 and self.unpacked(data[m.start() :], int(at[digit]), end):
                     body, at = body[:digit], at[:digit]  # the rest of the run is the member
                     break
             found += [(m.end() - m.start(), shift, m.start(), m[0]) for m in _CLEAN.finditer(data)]
         taken: list[tuple[int, int]] = []
         for size, shift, first, piece in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
             a, b = shift + first * 4 // 3, min(len(body), shift + -(-(first + size) * 4 // 3))
-            if b - a < size * 4 // 3 or any(a < y and x < b for x, y in taken):
+            k = bisect_right(taken, (a, len(body)))
+            if b - a < size * 4 // 3 or k and taken[k - 1][1] > a or k < len(taken) and taken[k][0] < b:
                 continue
-            parts = _parts(piece, at[shift:], first, 0)
-            taken.append((a, b))
-            self.cuts.append((parts[0][1], parts[-1][2], parts))
+            taken.insert(k, (a, b))
+            self.cuts.append(_parts(piece, at[shift:], first, 0))
+
+    def sorted_cuts(self) -> list[_Cut]:
+        self.cuts.sort(key=lambda c: (c.start, c.end))
+        apart, last = [], 0
+        for cut in self.cuts:
+            if cut.start >= last:
+                apart.append(cut)
+                last = cut.end
+        return apart
 
 
-def _base64(text: str) -> tuple[list, list[Span], int]:
-    """Cuts of the base64 runs, spans of secrets in members too large to hold, and the number of those."""
+def _base64(text: str) -> _Run:
     out = _Run()
     for m in _BASE64.finditer(text):
-        # a run spans single line breaks; its lines are tried alone if it fails, then behind separators and at other alignments
+        # a run spans single line breaks; its lines are tried alone if it fails, then at other alignments
         lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
-        at = [i for a, b in lines for i in range(a, b)]
-        if out.whole("".join(text[a:b] for a, b in lines), at, m.end()):
+        at = np.concatenate([np.arange(a, b) for a, b in lines])
+        joined = "".join(text[a:b] for a, b in lines)
+        if out.whole(joined, at, m.end()):
             continue
         before = len(out.cuts)
         if len(lines) > 1:
-            out.glued("".join(text[a:b] for a, b in lines), at, m.end())
+            out.glued(joined, at, m.end())
             if len(out.cuts) > before:
                 continue
         for a, b in lines:
             end = m.end() if b == lines[-1][1] else b
-            body, at = text[a:b], list(range(a, b))
+            body, at = text[a:b], np.arange(a, b)
             if len(lines) > 1 and out.whole(body, at, end):
                 continue
-            starts = [x.end() - a for x in _SEPARATOR.finditer(body)]
-            if not any(out.whole(body[x:], at[x:], end) for x in starts) and len(body) >= LEAST_DIGITS:
+            if len(body) >= LEAST_DIGITS:
                 out.glued(body, at, end)
-    out.cuts.sort(key=lambda c: c[:2])
-    apart, last = [], 0
-    for cut in out.cuts:
-        if cut[0] >= last:
-            apart.append(cut)
-            last = cut[1]
-    return apart, out.large, out.too_far
+    return out
+
+
+def _packed(text: str) -> _Run:
+    """Compressed data under percent or backslash-x escapes."""
+    out, last = _Run(), 0
+    found = [(m.start(), True) for m in _PERCENT_MEMBER.finditer(text)] if "%" in text else []
+    found += [(m.start(), False) for m in _BACKSLASH_MEMBER.finditer(text)] if "\\x" in text else []
+    for start, percent in sorted(found):
+        if start < last:
+            continue
+        m = (_PERCENT_DATA if percent else _BACKSLASH_DATA).match(text, start)
+        if m:
+            data = unquote_to_bytes(m[0]) if percent else _BACKSLASH_ONE.sub(lambda x: chr(int(x[1], 16) if x[1] else _BACKSLASH_BYTES[x[2]]), m[0]).encode("latin-1")
+            if out.unpacked(data, start, m.end()):
+                last = m.end()
+    return out
 
 
 _URLSAFE = str.maketrans("-_", "+/")
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans (base and decoded), and how many members were left packed."""
+    """Base spans, all spans (base and decoded), and how much data was too large to hold."""
     base = base_spans(text)
     found, too_far = set(base), 0
-    work, seen = [_Layer(text, [(0, 0, len(text), True)])], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    work, seen = [_Layer(text, [_Piece(0, 0, None, True)])], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     while work:
         layer = work.pop()
         if layer.text is not text:
@@ -347,17 +546,18 @@ def scan(text: str) -> tuple[list[Span], list[Span], int]:
                 left, right, decoded = layer.origin(a, b)
                 if decoded:
                     found.add((left, right, kind))
-        makers = []
-        if "%" in layer.text:
-            makers.append(_percent(layer.text))
-        if "\\" in layer.text:
-            makers.append(_escapes(layer.text))
-        cuts, large, packed = _base64(layer.text)
-        too_far += packed
-        for a, b, kind in large:
-            left, right, _ = layer.origin(a, b)
-            found.add((left, right, kind))
-        makers.append(cuts)
+        makers, runs = [], [_base64(layer.text)]
+        if "%" in layer.text or "\\" in layer.text:
+            runs.append(_packed(layer.text))
+            makers += [_percent(layer.text), _escapes(layer.text)]
+            if layer.text is not text and _DEEPER.search(layer.text):
+                makers = [_fixpoint(layer.text)]
+        for run in runs:
+            too_far += run.too_far
+            for a, b, kind in run.large:
+                left, right, _ = layer.origin(a, b)
+                found.add((left, right, kind))
+            makers.append(run.sorted_cuts())
         for cuts in makers:
             if cuts:
                 child = layer.replace(cuts)
