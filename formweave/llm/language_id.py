@@ -7,18 +7,26 @@ gives long matches and so few phrases.  The phrase count is normalised by
 log2 of the labelled text's length (the cost of pointing at a match), and the
 language of the lowest cost wins, the first by name in a tie.
 
-Texts are folded first: lower case, letters kept, every run of anything else is
-one space.  They are parsed in blocks of ``BLOCK`` code points, phrases do not
-cross a block, so that whole texts of any length run as equal vector lanes.
+Texts are folded first: lower case, letters (by category: numerals such as a
+half or a circled one are none) kept, every run of anything else is one space.
+They are parsed in blocks of ``BLOCK`` symbols, phrases do not cross a block, so
+that whole texts of any length run as equal vector lanes.  A symbol is a code
+point; for a language with more than ``ALPHABET`` of them it is a UTF-8 byte, so
+that transition tables stay small.  A code point that a language's text does not
+have is as many phrases as it has UTF-8 bytes, in either form.
 
 Fitting uses a bounded sample: at most ``SAMPLE_CHARS`` folded code points,
-shared evenly by the languages, drawn in the order of a seeded hash from rows
-that have a label, a text with letters, and are not held out.  The sample's size
-does not depend on the table's; the label counts it is drawn by cover every row.
+shared evenly by the (at most ``LANGUAGES`` most frequent) languages, drawn in
+the order of a seeded hash from rows that have a label, a text with letters, and
+are not held out.  Of a text at most a piece is taken, so that several texts
+take part and a long one is cut, not skipped: each language with a labelled text
+is learned.  The sample's size does not depend on the table's; the label counts
+it is drawn by cover every row.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with
-no labelled row at all every row is ``und``.  Rows are independent, so
-repeated rows, ties in doc_id and extra columns change nothing.
+no labelled row at all every row is ``und``; an empty table gives an empty
+result.  Rows are independent, so repeated rows, ties in doc_id and extra
+columns change nothing.
 """
 
 from __future__ import annotations
@@ -34,11 +42,12 @@ from formweave.llm.common import map_batches, text_frame
 
 #: The bound of the fitting sample, in folded code points over all languages, and its seed.
 SAMPLE_CHARS, SAMPLE_SEED = 200_000, 17
-#: Rows drawn for each language before the character bound applies, and the longest text among them.
-SAMPLE_ROWS, SAMPLE_TEXT = 400, 20_000
-BLOCK = 512
+#: Languages learned, rows drawn for each of them, and texts (if it has as many) that its share of code points has room for.
+LANGUAGES, SAMPLE_ROWS, PIECES = 500, 400, 8
+BLOCK, ALPHABET = 512, 256
 UNKNOWN = "und"
-_GAP = re.compile(r"[\W\d_]+")
+_NUMERALS = "".join(c for c in map(chr, range(0xAA, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_GAP = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _PARSERS: dict[int, "CrossParser"] = {}
 
 
@@ -97,22 +106,26 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
+        self.wide = [len(set(samples[n])) > ALPHABET for n in self.names]
         alphabet = sorted(set("".join(samples.values())))
-        self.width = len(alphabet) + 1  # symbol 0: any code point outside the alphabet
-        top = max(map(ord, alphabet), default=0) + 2
-        self.symbol = np.zeros(top, np.int32)
-        for i, c in enumerate(alphabet):
-            self.symbol[ord(c)] = i + 1
-        place = {c: i + 1 for i, c in enumerate(alphabet)}
-        self.tables, self.cost = [], []
-        for name in self.names:
-            automaton = SuffixAutomaton(samples[name])
-            table = np.zeros((len(automaton.next), self.width), np.int32)
+        self.symbol = np.zeros(max(map(ord, alphabet), default=0) + 2, np.int32)  # 0: any code point outside
+        self.symbol[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.own, self.tables, self.cost = [], [], []
+        for name, wide in zip(self.names, self.wide, strict=True):
+            text = samples[name].encode().decode("latin-1") if wide else samples[name]
+            place = {c: i + 1 for i, c in enumerate(sorted(set(text)))}
+            own = np.zeros(256 if wide else len(alphabet) + 1, np.int32)
+            for c, i in place.items():
+                own[ord(c) if wide else self.symbol[ord(c)]] = i
+            width = len(place) + 1
+            automaton = SuffixAutomaton(text)
+            table = np.zeros((len(automaton.next), width), np.int32)
             for state, row in enumerate(automaton.next):
                 for c, to in row.items():
-                    table[state, place[c]] = to * self.width
+                    table[state, place[c]] = to * width
+            self.own.append(own)
             self.tables.append(table.ravel())  # a state is held as its row's offset
-            self.cost.append(np.log2(len(samples[name]) + 2))
+            self.cost.append(np.log2(len(text) + 2))
         self.cost = np.array(self.cost)
 
     def costs(self, folded: list[str]) -> np.ndarray:
@@ -121,32 +134,44 @@ class CrossParser:
         out = np.zeros((len(folded), len(self.names)))
         if not lengths.sum() or not self.names:
             return out
-        codes = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.symbol[np.minimum(codes, len(self.symbol) - 1)]
+        if not all(self.wide):
+            codes = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
+            more = (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            self._count(out, [k for k, w in enumerate(self.wide) if not w], lengths, self.symbol[np.minimum(codes, len(self.symbol) - 1)], more)
+        if any(self.wide):
+            data = [t.encode("utf-8", "surrogatepass") for t in folded]
+            self._count(out, [k for k, w in enumerate(self.wide) if w], np.array([len(d) for d in data], np.int64), np.frombuffer(b"".join(data), np.uint8), None)
+        return out * self.cost / np.maximum(lengths, 1)[:, None]
+
+    def _count(self, out: np.ndarray, languages: list[int], lengths: np.ndarray, symbols: np.ndarray, more: np.ndarray | None) -> None:
+        """Add the phrases of texts of these lengths in ``symbols`` to the languages' columns of ``out``; ``more`` has
+        the phrases beyond one of symbols that a language does not know."""
         blocks = -(-lengths // BLOCK)
-        owner = np.repeat(np.arange(len(folded)), blocks)
+        owner = np.repeat(np.arange(len(lengths)), blocks)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = (np.cumsum(lengths) - lengths)[owner] + within * BLOCK
         size = np.minimum(lengths[owner] - within * BLOCK, BLOCK)
         order = np.argsort(-size, kind="stable")  # lanes still running are always the first ones
         owner, start, size = owner[order], start[order], size[order]
         running = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # lanes longer than i
-        for k, table in enumerate(self.tables):
+        for k in languages:
+            table, coded = self.tables[k], self.own[k][symbols]
             state = np.zeros(len(owner), np.int64)
             phrases = np.zeros(len(owner), np.int64)
             for i in range(int(size[0])):
                 n = running[i]
-                c = symbols[start[:n] + i]
+                c = coded[start[:n] + i]
                 s = state[:n]
                 after = table[s + c]
                 miss = after == 0
-                # a miss in mid-phrase ends it, and c starts the next; at the root every code point starts one
+                # a miss in mid-phrase ends it, and c starts the next; at the root every symbol starts one
                 begun = miss | (s == 0)
                 phrases[:n] += begun
                 after[miss] = table[c[miss]]
                 state[:n] = after
             np.add.at(out[:, k], owner, phrases)
-        return out * self.cost / np.maximum(lengths, 1)[:, None]
+            if more is not None and (strange := np.flatnonzero((coded == 0) & (more > 0))).size:
+                out[:, k] += np.bincount(np.searchsorted(np.cumsum(lengths), strange, side="right"), more[strange], len(lengths))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         folded = [fold(t) if t else "" for t in texts]
@@ -169,26 +194,33 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit_sample(docs: DataFrame) -> dict[str, str]:
     """Folded training text by language, bounded as the module says."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    letter = F.col("text").rlike(r"\p{L}")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & letter)
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return {}
+    budget = SAMPLE_CHARS // len(counts)
+    piece = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, budget // min(PIECES, n))])
     # Rows whose hash lies under a language's bound: a few times what is asked for, whatever the table's size
     spread = 1 << 30
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3 * SAMPLE_ROWS / n) * spread))])
-    drawn = rows.select("lang", "text", F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), F.col("doc_id").cast("string")), F.lit(spread)).alias("h"))
-    drawn = drawn.where((F.col("h") <= bound[F.col("lang")]) & (F.length("text") <= SAMPLE_TEXT))
-    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    drawn = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS).orderBy("lang", "r")
-    budget = SAMPLE_CHARS // len(counts)
-    found: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for row in drawn.select("lang", "text").toLocalIterator():
-        text = fold(row["text"])
-        if text and size.get(row["lang"], 0) + len(text) <= budget:
-            found.setdefault(row["lang"], []).append(text)
-            size[row["lang"]] = size.get(row["lang"], 0) + len(text) + 1
-    return {k: " ".join(dict.fromkeys(v)) for k, v in found.items()}
+    h = F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), F.col("doc_id").cast("string")), F.lit(spread))
+    drawn = rows.select("lang", "text", h.alias("h")).where(F.col("h") <= F.try_element_at(bound, F.col("lang")))
+    letters = F.ltrim(F.regexp_replace("text", r"\P{L}+", " "))
+    drawn = drawn.select("lang", "h", F.substring(letters, F.lit(1), piece[F.col("lang")]).alias("piece"))
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("piece"))
+    drawn = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS)
+    # of equal pieces the first; then no more than there is room for
+    drawn = drawn.groupBy("lang", "piece").agg(F.min("r").alias("r"))
+    before = F.sum(F.length("piece") + 1).over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget).orderBy("lang", "r")
+    found: dict[str, str] = {}
+    for row in drawn.select("lang", "piece").toLocalIterator():
+        text = fold(row["piece"])
+        if text:
+            found[row["lang"]] = f"{found[row['lang']]} {text}"[:budget] if row["lang"] in found else text[:budget]
+    return found
 
 
 def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

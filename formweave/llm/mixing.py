@@ -74,10 +74,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take: their words sum to the budget or to the most reachable below it.
 
-    Where the programme ends below the budget, it takes over more of the proportional part, four times as much
-    each time, until it has the whole budget or its sets of sums would take ``MOST_BYTES``; only beyond that
-    bound the sum may be below the most reachable."""
+    All is divided by the lengths' greatest common divisor first.  Where the programme ends below the budget, it
+    takes over more of the proportional part, four times as much each time, until it has the whole budget or its
+    sets of sums would take ``MOST_BYTES``; only beyond that bound the sum may be below the most reachable."""
     step = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)], initial=0))
+    if step > 1:
+        return fit(np.where(counts > 0, lengths, 0) // step, counts, budget // step)
     exact, log = EXACT, int(sum(int(c).bit_length() for c in counts))
     while True:
         taken = _fit(lengths, counts, budget, exact)
