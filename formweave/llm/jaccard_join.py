@@ -67,7 +67,8 @@ COUNT_TOKENS = 1 << 20
 RUN = 4
 #: Rows of one shingle in a task, about; classes in a chunk of an opened run.
 SPLIT, UNIT = 1 << 10, 1 << 10
-SKETCH_BITS = 1024
+#: Bits of the smallest sketch and of the largest, powers of two.
+SKETCH_BITS, MOST_SKETCH_BITS = 1 << 10, 1 << 24
 #: Sets that a task remembers to leave out the prefixes of copies.
 SEEN_SETS = 1 << 20
 #: Classes of one component in a chunk, shingles of a chunk, and shingles that are spread out at once to compare it.
@@ -217,9 +218,19 @@ def frequency_order(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """SKETCH_BITS parity bits of a set: those in which two sketches differ are at most as many as their sets do."""
-    bits = np.bincount((s >> _U(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parity bits of a set, SKETCH_BITS or about one for each of its shingles: those in which two sketches of one
+    length differ are at most as many as their sets do."""
+    m = min(MOST_SKETCH_BITS, max(SKETCH_BITS, 1 << (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s >> _U(40)).astype(np.int64) % m, minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> int:
+    """A sketch as a number, folded to ``size`` bytes: what the set's sketch of that size is."""
+    value, now = int.from_bytes(bits), len(bits)
+    while now > size:
+        now //= 2
+        value = (value >> 8 * now) ^ (value & ((1 << 8 * now) - 1))
+    return value
 
 
 def signatures(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -418,7 +429,8 @@ def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, low, high, own, size, rep, pos, comp, bits in _runs(batches, 3):
             size, pos = size.astype(np.int64), pos.astype(np.int64)
-            words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+            least = SKETCH_BITS // 8
+            words = np.frombuffer(b"".join(x if len(x) == least else folded(x, least).to_bytes(least) for x in bits), np.uint64).reshape(len(bits), -1)
             begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             for a, b in zip(begin, np.append(begin[1:], len(token)), strict=True):
                 left, right = [], []
@@ -443,16 +455,16 @@ def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches do not rule a link out, so that few texts travel."""
+    """The pairs whose sketches, in the smaller one's length, do not rule a link out, so that few texts travel."""
     side = classes.select("rep", "size", "sketch")
     both = pairs.join(side.toDF("a", "za", "ka"), "a").join(side.toDF("b", "zb", "kb"), "b").select("a", "b", "za", "zb", "ka", "kb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
             differ = size - 2 * (-(-percent * size // (100 + percent)))
-            ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= differ)
+            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), differ.tolist(), strict=True)
+            ok = pa.array([(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).bit_count() <= d for x, y, d in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -610,6 +622,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, all_links
         units = units.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "rep")
         with _arrow_rows(spark, 4_000):
             rest = keep(_open_pairs(units, percent).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+        rest = keep(plausible(rest, classes, percent), "plausible")
         if not rest.isEmpty():
             done.append(links)
             done.append(comps)

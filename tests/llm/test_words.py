@@ -73,3 +73,17 @@ def test_hot_shingles(spark, monkeypatch, split, unit, run):
     want = {(a, b): (len(own[a] & own[b]), len(own[a] | own[b])) for a in reps for b in reps if a < b and own[a] & own[b] and 100 * len(own[a] & own[b]) >= 70 * len(own[a] | own[b])}
     links = {(r.a, r.b): (r.overlap, r.either) for r in jaccard_join.ngram_jaccard_join(d, 3, 70, all_links=True).links.collect()}
     assert links == want
+
+
+def test_sketches_fold_and_bound_differences():
+    rng = np.random.default_rng(7)
+    for n in (1, 500, 1025, 9000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 8 + 400).astype(np.uint64)])
+        x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+        size = min(len(x), len(y))
+        bits = (jaccard_join.folded(x, size) ^ jaccard_join.folded(y, size)).bit_count()
+        assert bits <= len(np.setxor1d(a, b))
+        if len(x) == size:  # folding gives the sketch of the smaller size
+            own = np.bincount((b >> np.uint64(40)).astype(np.int64) % (8 * size), minlength=8 * size) & 1
+            assert jaccard_join.folded(y, size) == int.from_bytes(np.packbits(own.astype(np.uint8)).tobytes())
