@@ -46,14 +46,17 @@ SAMPLE_CHARS, SAMPLE_SEED = 200_000, 17
 LANGUAGES, SAMPLE_ROWS, PIECES = 500, 400, 8
 BLOCK, ALPHABET = 512, 256
 UNKNOWN = "und"
-_NUMERALS = "".join(c for c in map(chr, range(0xAA, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_GAP = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_GAP = re.compile(r"[\W\d_]+")
+_NUMERALS = frozenset(c for c in map(chr, range(0xAA, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _PARSERS: dict[int, "CrossParser"] = {}
 
 
 def fold(text: str) -> str:
     """Lower-case letters with single spaces between, none at the ends."""
-    return _GAP.sub(" ", text.lower()).strip()
+    text = _GAP.sub(" ", text.lower()).strip()
+    if text.isascii() or _NUMERALS.isdisjoint(text):
+        return text
+    return " ".join("".join(" " if c in _NUMERALS else c for c in text).split())
 
 
 class SuffixAutomaton:
