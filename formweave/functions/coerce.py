@@ -30,6 +30,11 @@ def number_of_text(s: Column) -> Column:
     return F.when(t.rlike(_NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
 
 
+def plain_number(s: Column) -> Column:
+    """As ``number_of_text``, but a comma makes it no number."""
+    return F.when(~F.contains(s, F.lit(",")), number_of_text(s))
+
+
 def date_of_text(s: Column) -> Column:
     t = normalize_string(s, True)
     found = F.lit(None).cast("date")

@@ -73,11 +73,9 @@ def canonicalize_header(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "[^A-Za-z0-9]", ""))
 
 
-def canonical_quotes(c: Column | str, ascii_only: bool = False) -> Column:
+def canonical_quotes(c: Column | str) -> Column:
     """Single quotes become double ones everywhere, runs of white space one space, ends stripped; null stays."""
-    c = _col(c)
-    c = c if ascii_only else nfc(c)
-    return strip(F.regexp_replace(F.translate(c, "'", '"'), f"(?U){_SPACE}+", " "))
+    return strip(F.regexp_replace(F.translate(_col(c), "'", '"'), f"(?U){_SPACE}+", " "))
 
 
 def text_sha(c: Column | str) -> Column:

@@ -8,13 +8,17 @@ block is looked up there.  All joins are equi-joins on fixture and identity.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formweave.functions.text import bbox_key, canonical_quotes, text_sha
+from formweave.functions.search import part_of
 from formweave.operators.ratios import ratio, ratio_true
+from formweave.shared import stash
 
 KEY = ["fixture_id", "page", "k0", "k1", "k2", "k3", "sha"]
 _KEPT = ["block_id", "block_type", "confidence", "reading_order", "sequence", "branching_logic"]
@@ -77,10 +81,10 @@ def parent_link_f1(golden: DataFrame, candidate: DataFrame) -> DataFrame:
     return counts.select("*", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp") + F.col("fn")).alias("recall"), F.when(none, 1.0).otherwise(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), 0.0)).alias("f1"))
 
 
-def branching_exact_match(golden: DataFrame, candidate: DataFrame, ascii_only: bool = False) -> DataFrame:
+def branching_exact_match(golden: DataFrame, candidate: DataFrame) -> DataFrame:
     """Matched blocks whose golden expression is set: share equal after normalising quotes and space."""
     m = match_blocks(golden, candidate)
-    same = F.coalesce(canonical_quotes("branching_logic", ascii_only) == canonical_quotes(F.col("c.branching_logic"), ascii_only), F.lit(False))
+    same = F.coalesce(canonical_quotes("branching_logic") == canonical_quotes(F.col("c.branching_logic")), F.lit(False))
     asked = F.when(F.col("c").isNotNull() & F.col("branching_logic").isNotNull(), same)
     return m.groupBy("fixture_id").agg(F.count(asked).alias("asked"), F.coalesce(F.sum(asked.cast("bigint")), F.lit(0)).alias("equal"), ratio_true(asked).alias("branching_exact_match"))
 
@@ -106,18 +110,71 @@ def concordance(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return total - ties(x) - ties(y) + ties(x, y) - inversions, inversions
 
 
+#: Rows of a fixture up to which its pairs are counted in one task; larger ones are cut.
+TAU_ROWS = 1 << 16
+
+
+def _inversions_of_cells(table: pa.Table) -> pa.Table:
+    """Pairs of rows in cells (ix, iy) of which one is before in ix and behind in iy, from the cells' counts."""
+    ix, iy = (np.unique(table[c].to_numpy(), return_inverse=True)[1] for c in ("ix", "iy"))
+    cells = np.zeros((ix.max() + 1, iy.max() + 1), np.int64)
+    cells[ix, iy] = table["n"].to_numpy()
+    found, later = 0, np.zeros(cells.shape[1], np.int64)
+    for row in cells[::-1]:
+        found += int(row[1:] @ np.cumsum(later)[:-1])
+        later += row
+    return pa.table({"fixture_id": table["fixture_id"][:1], "discordant": [found]}, _DISCORDANT)
+
+
+_DISCORDANT = pa.schema([("fixture_id", pa.string()), ("discordant", pa.int64())])
+
+
+def discordant_pairs(rows: DataFrame) -> DataFrame:
+    """(fixture_id, discordant) from (fixture_id, x, y): pairs in order in one of x and y and out of order in the other.
+
+    Fixtures of more than ``TAU_ROWS`` rows are cut at quantiles of x and of y; a cut value is a part of its own, so
+    equal values fill no task.  Pairs of one part of x are counted in a task, so are pairs of one part of y from
+    different parts of x, and all others follow from the numbers of rows by (part of x, part of y)."""
+
+    def counted(x: str, y: str):
+        def count(table: pa.Table) -> pa.Table:
+            _, d = concordance(table[x].to_numpy(), table[y].to_numpy())
+            return pa.table({"fixture_id": table["fixture_id"][:1], "discordant": [d]}, _DISCORDANT)
+
+        return count
+
+    schema = "fixture_id string, discordant bigint"
+    most = rows.groupBy("fixture_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= TAU_ROWS:
+        return rows.groupBy("fixture_id").applyInArrow(counted("x", "y"), schema)
+    part = max(TAU_ROWS, 64 * math.isqrt(most)) if TAU_ROWS >= 1 << 16 else TAU_ROWS
+    parts = -(-most // part)
+    at = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = rows.groupBy("fixture_id").agg(F.count("*").alias("n"), *[F.array_sort(F.array_distinct(F.percentile_approx(c, at, 10 * parts))).alias(f"cuts_{c}") for c in ("x", "y")])
+    # at most one cut for 4,096 rows of the table, since parts grow with the largest fixture
+    cut = rows.join(F.broadcast(cuts.where(F.col("n") > TAU_ROWS).drop("n")), "fixture_id", "left")
+    cut = cut.select("fixture_id", "x", "y", part_of(F.col("cuts_x"), F.col("x")).alias("ix"), part_of(F.col("cuts_y"), F.col("y")).alias("iy"))
+    cut = stash(cut, "tau")
+    found = cut.where("ix % 2 = 0").groupBy("fixture_id", "ix").applyInArrow(counted("x", "y"), schema)
+    found = found.unionByName(cut.where("iy % 2 = 0").groupBy("fixture_id", "iy").applyInArrow(counted("ix", "y"), schema))
+    cells = cut.groupBy("fixture_id", "ix", "iy").agg(F.count("*").alias("n"))
+    found = found.unionByName(cells.groupBy("fixture_id").applyInArrow(_inversions_of_cells, schema))
+    return found.groupBy("fixture_id").agg(F.sum("discordant").alias("discordant"))
+
+
 def kendall_tau(pairs: DataFrame) -> DataFrame:
     """From (fixture_id, x, y): concordant, discordant and tau of each fixture, 1.0 without comparable pairs.
 
-    A fixture is one document, so its blocks fit a task; pairs of blocks are counted, not made."""
+    Pairs of blocks are counted, not made; ties in x or y are neither."""
+    rows = pairs.select(F.col("fixture_id").cast("string").alias("fixture_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
-    def count(table: pa.Table) -> pa.Table:
-        c, d = concordance(table["x"].to_numpy(), table["y"].to_numpy())
-        return pa.table({"fixture_id": table["fixture_id"][:1], "concordant": [c], "discordant": [d]}, pa.schema([("fixture_id", pa.string()), ("concordant", pa.int64()), ("discordant", pa.int64())]))
+    def ties(*cols: str) -> DataFrame:
+        k = rows.groupBy("fixture_id", *cols).agg(F.count("*").alias("k"))
+        return k.groupBy("fixture_id").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("_".join(("ties", *cols))))
 
-    rows = pairs.select(F.col("fixture_id").cast("string").alias("fixture_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    counted = rows.groupBy("fixture_id").applyInArrow(count, "fixture_id string, concordant bigint, discordant bigint")
-    return counted.withColumn("tau", ratio(F.col("concordant") - F.col("discordant"), F.col("concordant") + F.col("discordant"), 1.0))
+    out = discordant_pairs(rows).join(ties(), "fixture_id").join(ties("x"), "fixture_id").join(ties("y"), "fixture_id").join(ties("x", "y"), "fixture_id")
+    out = out.select("fixture_id", (F.col("ties") - F.col("ties_x") - F.col("ties_y") + F.col("ties_x_y") - F.col("discordant")).alias("concordant"), "discordant")
+    return out.withColumn("tau", ratio(F.col("concordant") - F.col("discordant"), F.col("concordant") + F.col("discordant"), 1.0))
 
 
 def reading_order_tau(golden: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from formweave.shared import drop_stash, stash
+
 INPUTS = ("text_input", "text_area", "date_input", "checkbox_option", "radio_option")
 LABELS = ("question_label", "section_header", "subsection_header")
 OPTION_REACH = 5
@@ -29,22 +31,24 @@ def orphan_inputs(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("block_type").isin(*INPUTS)).select("fixture_id", "block_id").join(linked, ["fixture_id", "block_id"], "left_anti")
 
 
-def cycle_members(blocks: DataFrame, depth: int = 64) -> DataFrame:
-    """Blocks on a cycle of parent links.
-
-    Each block has at most one parent, so blocks whose parent chain ends are peeled off
-    from the top by pointer doubling: after k rounds a chain of 2^k links is resolved.
-    ``depth`` bounds the length of chains that are told from cycles (doubling: 7 rounds).
-    """
-    e = edges(blocks)
-    known = blocks.select("fixture_id", F.col("block_id").alias("parent"))
-    hop = e.join(known, ["fixture_id", "parent"], "left_semi").select("fixture_id", F.col("child").alias("a"), F.col("parent").alias("b")).distinct()
-    reach, steps = hop, 1
-    while steps < depth:  # a -> where 2^k steps lead; chains that end drop out
-        reach = reach.alias("x").join(reach.alias("y"), (F.col("x.fixture_id") == F.col("y.fixture_id")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.fixture_id"), F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        steps *= 2
-    # whatever is reached after so many steps lies on a cycle; the cycle is all of it, as it comes around
-    return reach.select("fixture_id", F.col("b").alias("block_id")).distinct()
+def cycle_members(blocks: DataFrame) -> DataFrame:
+    """Blocks on a cycle of parent links, of any length (the least parent counts where a block has several).
+
+    Pointer doubling: after k rounds each block is paired with the one 2^k links above it, and blocks whose chain
+    ends are gone.  What is reached shrinks from round to round; once it does not, following the links permutes it,
+    so all of it lies on cycles, and each cycle is in it, as it comes around.  Each round is written to the shared
+    folder."""
+    e = edges(blocks).groupBy("fixture_id", F.col("child").alias("a")).agg(F.min("parent").alias("b"))
+    known = blocks.select("fixture_id", F.col("block_id").alias("b"))
+    reach, before = stash(e.join(known, ["fixture_id", "b"], "left_semi").select("fixture_id", "a", "b"), "links"), -1
+    while True:
+        reached = reach.select("fixture_id", F.col("b").alias("block_id")).distinct()
+        now = reached.count()
+        if now in (0, before):
+            return reached
+        above = reach.select("fixture_id", F.col("a").alias("b"), F.col("b").alias("c"))
+        last, reach, before = reach, stash(reach.join(above, ["fixture_id", "b"]).select("fixture_id", "a", F.col("c").alias("b")), "links"), now
+        drop_stash(last)
 
 
 def distant_options(blocks: DataFrame) -> DataFrame:

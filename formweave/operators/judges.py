@@ -57,9 +57,9 @@ class ModelJudge:
 
 
 def resolve_judge(judge: Judge | None = None, enable: bool | None = None, model: Callable[[str], str] | None = None) -> Judge:
-    """An explicit judge, else a model's if enabled (by argument or FORMWEAVE_ENABLE_JUDGE), else none."""
+    """An explicit judge, else a model's if enabled (by argument or FORMWEAVE_ENABLE_JUDGE), each behind a cache; else none."""
     if judge is not None:
-        return judge
+        return judge if isinstance(judge, CachingJudge) else CachingJudge(judge)
     if enable is None:
         enable = os.environ.get("FORMWEAVE_ENABLE_JUDGE", "").lower() in ("1", "true", "yes")
     return CachingJudge(ModelJudge(model)) if enable and model else disabled_judge

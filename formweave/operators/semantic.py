@@ -19,7 +19,6 @@ from formweave.operators.ratios import ratio
 
 def zip_strict(candidate: DataFrame, reference: DataFrame) -> DataFrame:
     """Join by (fixture_id, row_index); a row that only one side has fails the query when it is run."""
-    both = candidate.join(reference, ["fixture_id", "row_index"], "full")
     unmatched = F.assert_true(F.col("_c").isNotNull() & F.col("_r").isNotNull(), F.lit("candidate and reference differ in length"))
     both = candidate.withColumn("_c", F.lit(1)).join(reference.withColumn("_r", F.lit(1)), ["fixture_id", "row_index"], "full")
     return both.where(unmatched.isNull()).drop("_c", "_r")

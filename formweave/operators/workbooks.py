@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formweave.functions.branching import loosely_valid
-from formweave.functions.coerce import cells_equal, value_blank
+from formweave.functions.coerce import cells_equal, plain_number, value_blank
 from formweave.functions.headers import YES_NO, column_priority, priority_threshold, priority_weight
-from formweave.functions.text import canonicalize_header, normalize_case_insensitive
+from formweave.functions.text import canonicalize_header, normalize_case_insensitive, strip
 from formweave.operators.ratios import ratio, ratio_true
 
 DISTANCE_THRESHOLD, ROW_DELTA, VOCAB_THRESHOLD, BRANCHING_THRESHOLD = 0.05, 2, 1.0, 0.97
@@ -88,11 +88,26 @@ def row_count_delta(reference: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def vocabulary(values: DataFrame, ascii_only: bool = False) -> DataFrame:
     """From (fixture_id, row, value string): the distinct entries by folded text, first spelling kept, with its row."""
-    s = values.where(F.trim("value") != "").where(~F.lower(F.trim("value")).isin("questiontype", "question type"))
+    s = values.where(strip("value") != "").where(~F.lower(strip("value")).isin("questiontype", "question type"))
     key = normalize_case_insensitive("value", ascii_only)
     return s.groupBy("fixture_id", key.alias("key")).agg(F.min_by("value", "row").alias("value"), F.min("row").alias("row"))
 
 
+def lookup_vocabulary(values: DataFrame, vocab: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """``values`` (fixture_id, value) with ``entry``: the vocabulary's spelling of the value, null if it has none or
+    the value is blank.  ``vocab`` is what ``vocabulary`` gives."""
+    entries = vocab.select("fixture_id", F.col("key").alias("k"), F.col("value").alias("entry"))
+    keyed = values.withColumn("k", normalize_case_insensitive("value", ascii_only))
+    return keyed.join(entries.where(F.col("k") != ""), ["fixture_id", "k"], "left").drop("k")
+
+
+def column_index(sheets: DataFrame, header: str) -> DataFrame:
+    """fixture_id, col: the first column whose header is this one, white space around aside; null without one."""
+    stripped = F.transform("headers", lambda h: strip(F.coalesce(h, F.lit(""))))
+    found = F.array_position(stripped, strip(F.lit(header))).cast("int")
+    return sheets.select("fixture_id", F.when(found > 0, found).alias("col"))
+
+
 def vocab_validity(cand_cells: DataFrame, cand_sheets: DataFrame, ref_cells: DataFrame, ref_sheets: DataFrame, vocab: DataFrame, canon: tuple[str, ...] = ("questiontype",), ascii_only: bool = False) -> DataFrame:
     """total, valid, out_of_vocab, validity: a value is valid if the vocabulary has it, or if it equals the
     reference cell of its row."""
@@ -128,9 +143,9 @@ def contiguous(numbers: DataFrame, key: str = "fixture_id") -> DataFrame:
     """From (key, s text): whether the non-blank values, cut to whole numbers, are just 1..n.
 
     n values from 1 to n without repeats: no list is gathered or sorted."""
-    n = F.col("s").try_cast("double")
+    n = plain_number(F.col("s"))
     whole = F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 9e18), F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint"))
-    rows = numbers.select(key, whole.alias("v"), (F.trim("s") != "").alias("filled")).where("filled")
+    rows = numbers.select(key, whole.alias("v"), (strip("s") != "").alias("filled")).where("filled")
     counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.count("v").alias("read"), F.min("v").alias("low"), F.max("v").alias("high"), F.count_distinct("v").alias("kinds"))
     return counted.select(key, "n", F.coalesce((F.col("read") == F.col("n")) & (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("kinds") == F.col("n")), F.lit(False)).alias("contiguous"))
 
@@ -153,10 +168,10 @@ def formatting_preservation(reference: DataFrame, candidate: DataFrame) -> DataF
 
 
 def header_meta_accuracy(ref_cells: DataFrame, cand_cells: DataFrame, ref_sheets: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Cells above the header that are set on either side: total, correct, accuracy, and right or wrong by ``R<r>C<c>``."""
-    top = ref_sheets.select("fixture_id", "header_row")
-    r = ref_cells.join(top, "fixture_id").where("row < header_row").select("fixture_id", "row", "col", F.col("value").alias("rv"))
-    c = cand_cells.join(top, "fixture_id").where("row < header_row").select("fixture_id", "row", "col", F.col("value").alias("cv"))
+    """Cells above the header, as far as it has columns, that are set on either side: total, correct, accuracy, and right or wrong by ``R<r>C<c>``."""
+    top = ref_sheets.select("fixture_id", "header_row", F.size("headers").alias("width"))
+    r = ref_cells.join(top, "fixture_id").where("row < header_row and col <= width").select("fixture_id", "row", "col", F.col("value").alias("rv"))
+    c = cand_cells.join(top, "fixture_id").where("row < header_row and col <= width").select("fixture_id", "row", "col", F.col("value").alias("cv"))
     both = r.join(c, ["fixture_id", "row", "col"], "full").where(~(value_blank(F.col("rv")) & value_blank(F.col("cv"))))
     same = F.coalesce(cells_equal(F.col("rv"), F.col("cv"), ascii_only), F.lit(False))
     counted = both.groupBy("fixture_id").agg(F.count("*").alias("total"), F.sum(same.cast("bigint")).alias("correct"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.format_string("R%dC%d", "row", "col"), same)))).alias("cells"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from formweave.functions import text
+from formweave.operators.model_client import ModelClient, ModelSettings
 from formweave.plans import gate, mapping, rules
+from formweave.sources import xlsx
 
 
 @dataclass(frozen=True)
@@ -64,3 +68,60 @@ def run(blocks: DataFrame, config: Config | None = None, refiner: Refiner | None
 def null_pipeline(golden: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A pipeline that returns the golden result, for checking the evaluations."""
     return lambda _: golden
+
+
+@dataclass(frozen=True)
+class Context:
+    """Where a run writes, and the template whose sheet it fills."""
+
+    out_path: str
+    template_xlsx: str
+    question_sheet: str
+    header_row: int
+
+
+#: Raw blocks of a source document.
+Extractor = Callable[[SparkSession, str], DataFrame]
+
+
+def extract(spark: SparkSession, path: str) -> DataFrame:
+    """Raw blocks of the headings and paragraphs of an HTML file; no blocks for other files, as no parser is at hand."""
+    empty = "fixture_id string, pos int, block_id string, page int, reading_order int, text string"
+    if not path.lower().endswith((".html", ".htm")):
+        return spark.createDataFrame([], empty)
+    page = spark.read.text(path, wholetext=True)
+    tags = r"(?is)<(p|h[1-6]|li|label)\b[^>]*>(.*?)(?=</?(?:p|h[1-6]|li|label|ul|ol|div|body)\b)"
+    parts = F.regexp_extract_all("value", F.lit(tags), F.lit(2))
+    rows = page.select(F.lit(path).alias("fixture_id"), F.posexplode(parts).alias("pos", "text"))
+    return rows.select("fixture_id", "pos", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.lit(1).alias("page"), F.col("pos").alias("reading_order"), text.strip(F.regexp_replace("text", r"<[^>]*>", "")).alias("text"))
+
+
+@dataclass(frozen=True)
+class WorkbookPipeline:
+    """From a source document to a workbook: all stages, then the template with the mapped rows.  Returns the path."""
+
+    config: Config
+    context: Context
+    refiner: Refiner | None = None
+    extractor: Extractor = extract
+
+    def __call__(self, spark: SparkSession, source: str) -> str:
+        on, at = self.config.stages, self.context
+        blocks = self.extractor(spark, source) if on.extraction else extract(spark, "")
+        rows: Iterator[tuple] = iter(())
+        if on.mapping and blocks.columns and not blocks.isEmpty():
+            mapped = run(blocks, self.config, self.refiner)
+            names = [f for f in mapped.columns if f not in ("fixture_id", "block_id", "pos")]
+            rows = (tuple(r) for r in mapped.orderBy("fixture_id", "sequence").select(*names).toLocalIterator())
+        # with output off the template is cloned and blanked, as there is nothing to append
+        xlsx.write_from_template(at.template_xlsx, at.out_path, at.question_sheet, at.header_row, rows if on.output else ())
+        return at.out_path
+
+
+def build(config: Config, context: Context, with_llm: bool = False, client: ModelClient | None = None, refiner: Callable[[ModelClient], Refiner] | None = None) -> WorkbookPipeline:
+    """A pipeline with a model only if asked for and the stage is on; ``refiner`` makes one from the client."""
+    if not (with_llm and config.stages.llm):
+        return WorkbookPipeline(config, context)
+    known = {f.name for f in fields(ModelSettings)}
+    client = client or ModelClient(ModelSettings(**{k: v for k, v in config.model.items() if k in known}))
+    return WorkbookPipeline(config, context, refiner(client) if refiner else None)

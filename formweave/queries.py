@@ -50,7 +50,7 @@ def parent_link_f1(spark, sf):
 
 @query
 def branching_exact_match(spark, sf):
-    return blocks.branching_exact_match(*_both(spark, sf), ascii_only=True)
+    return blocks.branching_exact_match(*_both(spark, sf))
 
 
 @query

@@ -67,12 +67,12 @@ def _nested(env: dict[str, str]) -> dict[str, Any]:
 
 
 def load_config(path: str | Path | None = None) -> Config:
-    """An explicit file, else the one an environment variable names, else ./config.yaml, else defaults.
+    """An explicit file (defaults if it does not exist), else the one an environment variable names, else ./config.yaml, else defaults.
 
     What the file sets wins over environment variables, which win over defaults."""
     path = path or os.environ.get(CONFIG_ENV) or ("config.yaml" if Path("config.yaml").exists() else None)
     data = _nested(dict(os.environ))
-    for key, value in ((yaml.safe_load(Path(path).read_text()) or {}) if path else {}).items():
+    for key, value in ((yaml.safe_load(Path(path).read_text()) or {}) if path and Path(path).exists() else {}).items():
         data[key] = {**data[key], **value} if isinstance(value, dict) and isinstance(data.get(key), dict) else value
     config = Config()
     thresholds, paths, log = (data.get(k) or {} for k in ("thresholds", "paths", "logging"))

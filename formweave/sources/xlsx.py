@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from formweave.functions.text import normalize_case_insensitive, strip
+
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _N = f"{{{MAIN}}}"
@@ -85,7 +87,8 @@ def parse(data: bytes) -> tuple[list[Sheet], list[str]]:
         for s in book.iter(_N + "sheet"):
             target = rels[s.get(f"{{{REL}}}id")]
             sheets.append(_sheet(s.get("name"), z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"), shared, dates, base))
-        defined = [d.get("name") for d in book.iter(_N + "definedName")]
+        # names of one sheet and reserved ones are not the workbook's
+        defined = [d.get("name") for d in book.iter(_N + "definedName") if d.get("localSheetId") is None and not d.get("name").startswith("_xlnm.")]
     return sheets, defined
 
 
@@ -118,8 +121,8 @@ def _sheet(name: str, data: bytes, shared: list[str], dates: set[int], base: dat
             out.cells[position(c.get("r"))] = (mark if value is not None else None, value, f"={f}" if f is not None else None)
     out.merged = [m.get("ref") for m in root.iter(_N + "mergeCell")]
     pane = next(root.iter(_N + "pane"), None)
-    out.panes = pane.get("topLeftCell") if pane is not None and pane.get("state") in ("frozen", "frozenSplit") else None
-    out.validations = [d.get("sqref") for d in root.iter(_N + "dataValidation")]
+    out.panes = pane.get("topLeftCell") if pane is not None else None
+    out.validations = [ref for d in root.iter(_N + "dataValidation") for ref in (d.get("sqref") or "").split()]
     return out
 
 
@@ -190,10 +193,12 @@ def expand_merges(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def sheet_dimension(cells: DataFrame, sheets: DataFrame, header_row: int, sheet: str) -> DataFrame:
-    """Headers (trailing blanks dropped) and data rows of one sheet per workbook; fails where the sheet is missing."""
+    """Headers (trailing blanks dropped) and data rows of one sheet per workbook; fails where the sheet is missing.
+
+    ``cells`` are those stored: with merged ranges expanded, headers would repeat and rows be too many."""
     missing = F.assert_true(F.array_contains("sheet_names", sheet), F.concat(F.lit(f"no sheet {sheet} in "), F.col("workbook")))
     sheets = sheets.where(missing.isNull()).where(F.col("sheet") == sheet)
-    heads = cells.where((F.col("sheet") == sheet) & (F.col("row") == header_row) & (F.trim(F.coalesce("value.s", F.lit(""))) != ""))
+    heads = cells.where((F.col("sheet") == sheet) & (F.col("row") == header_row) & (strip(F.coalesce("value.s", F.lit(""))) != ""))
     named = heads.groupBy("workbook").agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("value.s")))).alias("by_col"), F.max("col").alias("width"))
     named = named.select("workbook", "width", F.transform(F.sequence(F.lit(1), "width"), lambda i: F.coalesce(F.try_element_at("by_col", i), F.lit(""))).alias("headers"))
     inside = cells.where(F.col("sheet") == sheet).join(named.select("workbook", "width"), "workbook").where((F.col("col") <= F.col("width")) & (F.coalesce("value.s", F.lit("")) != ""))
@@ -204,10 +209,8 @@ def sheet_dimension(cells: DataFrame, sheets: DataFrame, header_row: int, sheet:
 
 def controlled_vocabulary(cells: DataFrame, column: str = "C", sheet: str = "Values") -> DataFrame:
     """workbook, row, value of the vocabulary in its order, first spelling of each entry."""
-    v = cells.where((F.col("sheet") == sheet) & (F.col("col") == column_number(column))).select("workbook", "row", F.trim(F.coalesce("value.s", F.lit(""))).alias("value"))
+    v = cells.where((F.col("sheet") == sheet) & (F.col("col") == column_number(column))).select("workbook", "row", strip(F.coalesce("value.s", F.lit(""))).alias("value"))
     v = v.where((F.col("value") != "") & ~F.lower("value").isin("questiontype", "question type"))
-    from formweave.functions.text import normalize_case_insensitive
-
     first = Window.partitionBy("workbook", normalize_case_insensitive("value")).orderBy("row")
     return v.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
