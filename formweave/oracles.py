@@ -36,7 +36,7 @@ b AS (SELECT * FROM p JOIN s USING (fixture_id) WHERE i < cr)"""
 _VOCAB = """
 v AS (
   SELECT 'part' || p_partkey % 3 AS fixture_id, p_partkey + 1 AS row, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS value
-  FROM part WHERE p_partkey % 10 < 4 AND p_brand NOT LIKE '%5'
+  FROM part WHERE p_brand NOT LIKE '%5'
 ), vocab AS (SELECT fixture_id, lower(value) AS key, min_by(value, row) AS value, min(row)::INT AS row FROM v GROUP BY 1, 2)"""
 
 _COLUMNS = (
@@ -92,12 +92,14 @@ e AS (
 
 _PAIRS = """
 r AS (
-  SELECT 'f' || a.conv_id % 7 AS fixture_id, a.conv_id * 1000 + a.turn AS k, left(a.text, 20) AS a, left(b.text, 20) AS b
+  SELECT 'f' || a.conv_id % 7 AS fixture_id, a.conv_id * 1000 + a.turn AS k, a.text AS a, b.text AS b
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-), pairs AS (
-  SELECT fixture_id, k, k % 3 = 0 AS box,
-    nfc_normalize(coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN 'red | blue|' || k % 4 ELSE a END, '')) AS c,
-    nfc_normalize(coalesce(CASE WHEN k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN k % 2 || '|red|blue|' WHEN k % 4 = 0 THEN a ELSE b END, '')) AS f FROM r
+), made AS (
+  SELECT fixture_id, k, false AS box, a AS c, b AS f FROM r
+  UNION ALL SELECT fixture_id, k, false, a, a FROM r WHERE k % 4 = 0
+  UNION ALL SELECT fixture_id, k, false, '', '' FROM r WHERE k % 5 = 0
+  UNION ALL SELECT fixture_id, k, true, 'red | blue|' || k % 4, k % 2 || '|red|blue|' FROM r WHERE k % 3 = 0
+), pairs AS (SELECT fixture_id, k, box, nfc_normalize(coalesce(c, '')) AS c, nfc_normalize(coalesce(f, '')) AS f FROM made
 ), o AS (SELECT *, box AND k % 4 = k % 2 AS same_set FROM pairs WHERE c <> '' OR f <> ''),
 judged AS (
   SELECT *, (ascii(c) + ascii(f) + length(c) + length(f)) % 3 AS z, CASE WHEN box THEN same_set ELSE c = f END AS answer_same FROM o
@@ -125,7 +127,7 @@ n AS (
 )"""
 _ROWS = """,
 w AS (
-  SELECT *, last_value(CASE WHEN t = 'section_header' THEN left(text, 12) END IGNORE NULLS) OVER (PARTITION BY fixture_id ORDER BY page, d, block_id ROWS UNBOUNDED PRECEDING) AS section FROM n
+  SELECT *, last_value(CASE WHEN t = 'section_header' THEN text END IGNORE NULLS) OVER (PARTITION BY fixture_id ORDER BY page, d, block_id ROWS UNBOUNDED PRECEDING) AS section FROM n
 ), rows AS (
   SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY page, d, block_id)::INT AS sequence FROM w WHERE t NOT IN ('section_header', 'page_header', 'page_footer', 'unknown')
 )"""
@@ -185,7 +187,7 @@ SELECT fixture_id, CASE WHEN pct < 20 THEN '0.0-0.2' WHEN pct < 40 THEN '0.2-0.4
     "row_count_delta": f"WITH {_SHEET} SELECT fixture_id, (cr - rr)::BIGINT AS row_count_delta FROM s",
     "header_meta": """WITH x AS (
   SELECT 'nation' || n_regionkey AS fixture_id, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS r,
-    CASE WHEN n_nationkey % 7 <> 0 THEN CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END END AS c FROM nation
+    CASE WHEN n_nationkey % 7 <> 0 THEN CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END END AS c FROM nation WHERE n_nationkey // 2 < 10
 )
 SELECT fixture_id, count(*) FILTER (coalesce(r, c) IS NOT NULL)::BIGINT AS total, count(*) FILTER (r = c)::BIGINT AS correct,
   CASE WHEN count(*) FILTER (coalesce(r, c) IS NOT NULL) = 0 THEN 1 ELSE count(*) FILTER (r = c)::DOUBLE / count(*) FILTER (coalesce(r, c) IS NOT NULL)::DOUBLE END::DOUBLE AS accuracy
@@ -274,7 +276,7 @@ SELECT fixture_id, block_id, CASE WHEN routed AND d % 4 = 0 THEN 'display' ELSE
 kids AS (
   SELECT fixture_id, parent, count(*) FILTER (t = 'checkbox_option') AS nc, count(*) FILTER (t = 'radio_option') AS nr, count(*) FILTER (t = 'text_input') AS ni,
     count(*) FILTER (t = 'text_area') AS na, count(*) FILTER (t = 'date_input') AS nd,
-    coalesce(string_agg(coalesce(left(text, 12), ''), '|' ORDER BY page, d) FILTER (t IN ('checkbox_option', 'radio_option')), '') AS options
+    coalesce(string_agg(coalesce(text, ''), '|' ORDER BY page, d) FILTER (t IN ('checkbox_option', 'radio_option')), '') AS options
   FROM n WHERE parent IS NOT NULL GROUP BY 1, 2
 ), q AS (
   SELECT rows.*, options, CASE WHEN t = 'question_label' AND nc >= 2 THEN 'Checkbox Group' WHEN t = 'question_label' AND nc = 1 THEN 'Checkbox' WHEN t = 'question_label' AND nr >= 2 THEN 'Radio Button'
@@ -282,14 +284,14 @@ kids AS (
     WHEN t IN ('signature_field', 'text_input') THEN 'Text Box' WHEN t = 'text_area' THEN 'Text Area' WHEN t = 'date_input' THEN 'Date' ELSE 'Display' END AS question_type
   FROM rows LEFT JOIN kids ON kids.fixture_id = rows.fixture_id AND kids.parent = rows.d
 )
-SELECT fixture_id, block_id, section, sequence, question_type, coalesce(left(text, 12), '') AS question_text,
+SELECT fixture_id, block_id, section, sequence, question_type, coalesce(text, '') AS question_text,
   CASE WHEN question_type IN ('Checkbox Group', 'Radio Button', 'Checkbox') THEN options END AS answer_text,
   CASE WHEN t = 'signature_field' THEN 'signature' WHEN question_type = 'Date' THEN 'Format is mm/dd/yyyy' WHEN question_type = 'Text Box' THEN 'default characters = 100' END AS answer_validation,
-  'Yes' AS required, CASE WHEN regexp_matches(left(text, 12), '(?i)\\b(name|ssn|dob|date of birth|social security)\\b') THEN 'Yes' ELSE 'No' END AS auto_populated FROM q""",
+  'Yes' AS required, CASE WHEN regexp_matches(text, '(?i)\\b(name|ssn|dob|date of birth|social security)\\b') THEN 'Yes' ELSE 'No' END AS auto_populated FROM q""",
     "substituted_branching": f"""WITH {_LINKED} {_ROWS}
 SELECT a.fixture_id, a.block_id, a.sequence, 'Display if Q' || b.sequence || ' = "yes"' AS branching_logic FROM rows a JOIN rows b ON a.fixture_id = b.fixture_id AND a.parent = b.d""",
     "document_titles": f"""WITH {_LINKED}
-SELECT fixture_id, min_by(left(text, 30), page * 1000000000 + d) FILTER (t IN ('section_header', 'subsection_header', 'page_header')) AS assessment_title, 'program' AS program FROM n GROUP BY 1""",
+SELECT fixture_id, min_by(text, page * 1000000000 + d) FILTER (t IN ('section_header', 'subsection_header', 'page_header')) AS assessment_title, 'program' AS program FROM n GROUP BY 1""",
     "repeated_headers": """SELECT sha256(coalesce(text, '')) AS sha, count(DISTINCT doc_id % 11)::BIGINT AS pages, count(*)::BIGINT AS blocks FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 11) >= 3""",
     "rule_combine": """WITH s AS (
   SELECT doc_id, 'b' || doc_id AS block_id, x.t AS type, x.p, (doc_id * x.f % 90 + 5) / 100.0::DOUBLE AS c FROM documents, (VALUES ('display', 7, 0), ('question_label', 11, 1), ('text_input', 13, 2)) x(t, f, p)

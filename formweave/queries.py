@@ -86,7 +86,7 @@ def header_meta(spark, sf):
     at = [F.concat(F.lit("nation"), F.col("n_regionkey").cast("string")).alias("fixture_id"), (k % 2 + 1).cast("int").alias("row"), (F.floor(k / 2) + 1).cast("int").alias("col")]
     ref = n.where(k % 5 != 0).select(*at, coerce.text_value(F.col("n_name")).alias("value"))
     cand = n.where(k % 7 != 0).select(*at, coerce.text_value(F.when(k % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name"))).alias("value"))
-    tops = n.select(F.concat(F.lit("nation"), F.col("n_regionkey").cast("string")).alias("fixture_id"), F.lit(3).alias("header_row")).distinct()
+    tops = n.select(F.concat(F.lit("nation"), F.col("n_regionkey").cast("string")).alias("fixture_id"), F.lit(3).alias("header_row"), F.array_repeat(F.lit("h"), 10).alias("headers")).distinct()
     return workbooks.header_meta_accuracy(ref, cand, tops, ascii_only=True).drop("cells")
 
 
