@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from formweave.shared import drop_stash, shared_dir, stash
+
+__all__ = ["drop_stash", "map_batches", "shared_dir", "small_batches", "stash", "text_frame"]
 #: Rows per Arrow batch: texts may be long, and a batch has to fit a small Python worker.
 BATCH_ROWS = 400
 #: Code points handled at once by vectorised code.
@@ -16,7 +17,9 @@ SLICE_CHARS = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's default Arrow batch (10,000 rows) where the session still has it."""
+    """Lower Spark's default Arrow batch (10,000 rows) where the session still has it.
+
+    It stays lowered: a lazy frame reads the setting when it runs, long after it was made."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) >= 10_000:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -45,49 +48,3 @@ def text_frame(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataF
     frame = docs.select(*keep, *([] if text in keep else [docs[text].alias("__text")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != "__text")
     return frame, fields, lambda cols: list(cols[text]) if text in keep else cols.pop("__text")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder (tests); a cluster gets an error,
-    since the executors of one do not share the driver's disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL_DIRS:
-        _LOCAL_DIRS[key] = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return _LOCAL_DIRS[key]
-
-
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    The files outlive any executor, so a later stage that loses one rereads them; they are
-    deleted by ``drop_stash`` or, at the latest, when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, p = _hadoop_path(spark, path)
-    files.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed frame that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        files, p = _hadoop_path(spark, path)
-        files.delete(p, True)

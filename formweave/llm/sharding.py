@@ -10,7 +10,7 @@ sizes are shuffled.
 
 Defined results: a null size counts 0 and a null key hashes as an empty string;
 rows of one key stay together, so a key (or one row) of more than the limit is
-a shard of its own with ``fits`` false at full depth; ties and repeated rows need
+a shard of its own with ``fits`` false, at the first bit that parts it from all others; ties and repeated rows need
 no order; an empty table has no shards; other columns do not matter.
 
 Only DataFrame functions are used.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from formweave.llm.common import stash
 
-#: Bytes of text in a shard: the unit that a streaming reader fetches whole.
-LIMIT_BYTES = 8 << 20
+#: Bytes of text in a shard: the unit that a streaming reader fetches and shuffles whole.
+LIMIT_BYTES = 1 << 20
 HASH_BITS, STEP_BITS = 60, 12
 
 
@@ -40,16 +40,17 @@ def _prefix(depth: int) -> Column:
 
 
 def tree(rows: DataFrame, limit_bytes: int) -> DataFrame:
-    """(depth, prefix, bytes) of leaf buckets: all at one depth, or deeper where that was still too large."""
+    """(depth, prefix, bytes, low, high) of leaf buckets, with the least and greatest hash: all at one depth, or
+    deeper where that was still too large and had keys to part."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     depth = min(HASH_BITS, max(1, math.ceil(math.log2(max(1, total) / limit_bytes)) + 3))
     open_rows, found = rows, None
     while True:
         sums = open_rows.groupBy(_prefix(depth).alias("prefix")).agg(F.sum("size").alias("bytes"), F.min("h").alias("low"), F.max("h").alias("high"))
-        level = sums.withColumn("depth", F.lit(depth)).withColumn("more", (F.col("bytes") > limit_bytes) & (F.col("low") < F.col("high"))).drop("low", "high")
+        level = sums.withColumn("depth", F.lit(depth)).withColumn("more", (F.col("bytes") > limit_bytes) & (F.col("low") < F.col("high")))
         found = level if found is None else found.where(~F.col("more")).unionByName(level)
         if depth == HASH_BITS or level.where("more").isEmpty():
-            return found.select("depth", "prefix", "bytes")
+            return found.select("depth", "prefix", "bytes", "low", "high")
         large = level.where("more").select("prefix")
         open_rows = open_rows.withColumn("prefix", _prefix(depth)).join(large, "prefix", "left_semi").drop("prefix")
         depth = min(HASH_BITS, depth + STEP_BITS)
@@ -57,12 +58,12 @@ def tree(rows: DataFrame, limit_bytes: int) -> DataFrame:
 
 def directory(leaves: DataFrame, limit_bytes: int) -> DataFrame:
     """(leaf_depth, leaf_prefix, depth, prefix, shard_bytes): the shard of each leaf bucket."""
-    up = leaves.select(F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix"), "bytes", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"))
+    up = leaves.select(F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix"), "bytes", "low", "high", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"))
     up = up.withColumn("prefix", F.expr("shiftrightunsigned(leaf_prefix, leaf_depth - depth)"))
-    nodes = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
-    marked = up.join(nodes, ["depth", "prefix"])
-    # the shortest prefix that fits, else the leaf itself
-    good = F.when(F.col("shard_bytes") <= limit_bytes, F.struct("depth", "prefix", "shard_bytes"))
+    nodes = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), (F.min("low") == F.max("high")).alias("alone"))
+    marked = up.drop("bytes", "low", "high").join(nodes, ["depth", "prefix"])
+    # the shortest prefix that fits or has one key, else (equal hashes aside, there is none) the leaf itself
+    good = F.when((F.col("shard_bytes") <= limit_bytes) | F.col("alone"), F.struct("depth", "prefix", "shard_bytes"))
     own = F.max(F.struct("depth", "prefix", "shard_bytes"))
     best = marked.groupBy("leaf_depth", "leaf_prefix").agg(F.coalesce(F.min(good), own).alias("s"))
     return best.select("leaf_depth", "leaf_prefix", "s.*")
@@ -89,13 +90,14 @@ WITH RECURSIVE r AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
 ), t AS (
-  SELECT 0 AS depth, 0::BIGINT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM r
+  SELECT 0 AS depth, 0::BIGINT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(DISTINCT h) AS keys FROM r
   UNION ALL
-  SELECT depth + 1, prefix * 2 + bit, (SELECT sum(n_bytes)::BIGINT FROM r WHERE h >> (59 - depth) = prefix * 2 + bit)
-  FROM t, (VALUES (0), (1)) b(bit) WHERE shard_bytes > {LIMIT_BYTES} AND depth < 60
+  SELECT depth + 1, prefix * 2 + bit, (SELECT sum(n_bytes)::BIGINT FROM r WHERE h >> (59 - depth) = prefix * 2 + bit),
+    (SELECT count(DISTINCT h) FROM r WHERE h >> (59 - depth) = prefix * 2 + bit)
+  FROM t, (VALUES (0), (1)) b(bit) WHERE shard_bytes > {LIMIT_BYTES} AND keys > 1
 )
 SELECT doc_id, n_bytes,
   coalesce((SELECT string_agg((prefix >> i & 1)::VARCHAR, '' ORDER BY i DESC) FROM range(depth) x(i)), '') AS shard,
   depth, shard_bytes, shard_bytes <= {LIMIT_BYTES} AS fits
-FROM r JOIN t ON h >> (60 - depth) = prefix AND shard_bytes <= {LIMIT_BYTES}
+FROM r JOIN t ON h >> (60 - depth) = prefix AND (shard_bytes <= {LIMIT_BYTES} OR keys = 1)
 """
