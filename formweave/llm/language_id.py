@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from formweave.llm.common import map_batches, text_frame
+from formweave.llm.common import SLICE_CHARS, map_batches, text_frame
 
 #: The bound of the fitting sample, in folded code points over all languages, and its seed.
 SAMPLE_CHARS, SAMPLE_SEED = 200_000, 17
@@ -139,7 +139,7 @@ class CrossParser:
             return out
         if not all(self.wide):
             codes = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
-            more = (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            more = np.add(codes > 0x7F, codes > 0x7FF, dtype=np.uint8) + (codes > 0xFFFF)
             self._count(out, [k for k, w in enumerate(self.wide) if not w], lengths, self.symbol[np.minimum(codes, len(self.symbol) - 1)], more)
         if any(self.wide):
             data = [t.encode("utf-8", "surrogatepass") for t in folded]
@@ -180,7 +180,13 @@ class CrossParser:
         folded = [fold(t) if t else "" for t in texts]
         if not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        costs = self.costs(folded)
+        cuts, size = [0], 0
+        for i, t in enumerate(folded):  # slices bound what the arrays take
+            if size + len(t) > SLICE_CHARS and i > cuts[-1]:
+                cuts.append(i)
+                size = 0
+            size += len(t)
+        costs = np.concatenate([self.costs(folded[a:b]) for a, b in zip(cuts, [*cuts[1:], len(folded)], strict=True)])
         best = costs.argmin(axis=1)
         low = costs[np.arange(len(texts)), best]
         # the winner's share when each language weighs as its inverse squared cost
