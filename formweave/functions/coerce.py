@@ -31,8 +31,8 @@ def number_of_text(s: Column) -> Column:
 
 
 def plain_number(s: Column) -> Column:
-    """As ``number_of_text``, but a comma makes it no number."""
-    return F.when(~F.contains(s, F.lit(",")), number_of_text(s))
+    """As ``number_of_text``, but a comma makes it no number.  Plain digits, the usual case, are read at once."""
+    return F.when(s.rlike("^[0-9]{1,15}$"), s.try_cast("double")).when(~F.contains(s, F.lit(",")), number_of_text(s))
 
 
 def date_of_text(s: Column) -> Column:

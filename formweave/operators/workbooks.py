@@ -145,7 +145,7 @@ def contiguous(numbers: DataFrame, key: str = "fixture_id") -> DataFrame:
     n values from 1 to n without repeats: no list is gathered or sorted."""
     n = plain_number(F.col("s"))
     whole = F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < 9e18), F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint"))
-    rows = numbers.select(key, whole.alias("v"), (strip("s") != "").alias("filled")).where("filled")
+    rows = numbers.select(key, whole.alias("v"), (F.col("s").rlike("^[0-9]") | (strip("s") != "")).alias("filled")).where("filled")
     counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.count("v").alias("read"), F.min("v").alias("low"), F.max("v").alias("high"), F.count_distinct("v").alias("kinds"))
     return counted.select(key, "n", F.coalesce((F.col("read") == F.col("n")) & (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("kinds") == F.col("n")), F.lit(False)).alias("contiguous"))
 
