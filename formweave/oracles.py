@@ -136,6 +136,12 @@ st AS (
   SELECT coalesce(source, '') AS fixture_id, doc_id AS d, 'b' || doc_id AS block_id, CASE WHEN doc_id % 13 <> 0 THEN (5 + doc_id * 37 % 95) / 100.0::DOUBLE END AS conf FROM documents
 )"""
 
+#: Headings, paragraphs, list items and labels of pages, with the text inside their inline tags.
+_PAGE_BLOCKS = r"""
+x AS (SELECT page_id, regexp_extract_all(html, '(?i)<(?:p|h[1-6]|li|label)\b[^>]*>([^<]*(?:</?(?:a|abbr|b|br|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|time|u)\b[^>]*>[^<]*)*)', 1) AS parts FROM pages),
+y AS (SELECT 'p' || page_id AS f, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS n FROM x),
+z AS (SELECT f, n, trim(regexp_replace(raw, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM y)"""
+
 def _priorities() -> str:
     from formweave.functions.headers import CLASSES, THRESHOLDS, WEIGHTS
 
@@ -218,7 +224,7 @@ SELECT k AS o_orderkey, CASE k % 4 WHEN 0 THEN 1000.5 + k % 1000 WHEN 1 THEN 100
   k % 7 <> 0 AS same_day, k % 4 IN (1, 3) AS is_thousand FROM x""",
     "normalized_text": """SELECT conv_id, turn, sha256(regexp_replace(coalesce(nfc_normalize(text), ''), '^[\\s]+|[\\s]+$', '', 'g')) AS digest,
   regexp_replace(coalesce(text, ''), '\\s', '', 'g') = '' AS blank, sha256(encode(coalesce(role, '')) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS key
-FROM conversations WHERE turn IS NOT NULL""",
+FROM conversations""",
     "dsl_canonical": f"WITH {_EXPRESSIONS} SELECT k AS o_orderkey, canonical, k % 4 = 0 AS loosely_valid FROM x",
     "branching_equivalence": f"""WITH {_EXPRESSIONS}
 SELECT fixture_id, count(*) FILTER (k % 4 IN (0, 1) AND k % 8 <> 5)::BIGINT AS numerator, count(*)::BIGINT AS denominator,
@@ -307,7 +313,72 @@ UNION ALL SELECT a.fixture_id, a.block_id, 'parent_missing' FROM x a LEFT JOIN x
 UNION ALL SELECT a.fixture_id, a.block_id, 'parent_without_sequence' FROM x a JOIN x p ON p.fixture_id = a.fixture_id AND p.d = a.parent WHERE a.has_logic AND p.d % 6 = 0""",
     "sequence_gaps": """SELECT 'd' || doc_id // 50 AS fixture_id, 'sequence' AS rule FROM documents GROUP BY doc_id // 50
 HAVING list_sort(list(doc_id % 50 + CASE WHEN doc_id % 350 = 49 THEN 2 ELSE 1 END)) <> range(1, count(*) + 1)""",
-    "html_blocks": """WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:p|h1)[^>]*>([^<]*)', 1) AS parts FROM pages),
-y AS (SELECT page_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos FROM x)
-SELECT 'p' || page_id AS fixture_id, pos::INT AS pos, 'p' || page_id || '-' || pos AS block_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))::INT AS chars FROM y""",
+    "html_blocks": f"""WITH {_PAGE_BLOCKS}
+SELECT f AS fixture_id, n::INT AS pos, f || '-' || n AS block_id, length(text)::INT AS chars FROM z""",
+    "classified_blocks": f"""WITH {_PAGE_BLOCKS}, blocks AS (
+  SELECT f, n, f || '-' || n AS id, text, NULL::DOUBLE AS size, NULL::BOOLEAN AS bold, NULL::DOUBLE AS y0, NULL::DOUBLE AS y1, NULL::VARCHAR AS kind FROM z
+  UNION ALL SELECT 'made-' || f, n, 'made-' || f || '-' || n, CASE WHEN n % 12 IN (0, 1) THEN text || ':' WHEN n % 12 = 11 THEN text || ' (part):' WHEN n % 36 = 9 THEN '___'
+      WHEN n % 12 IN (2, 8, 9, 10) THEN repeat('_', CASE WHEN n % 24 < 12 THEN 8 ELSE 10 END) WHEN n % 12 = 3 THEN '☐ 1. ' || text || CASE WHEN n % 24 = 3 THEN ' ____' ELSE '' END
+      WHEN n % 12 = 5 THEN 'Signature ____' WHEN n % 12 = 6 THEN 'DOB mm/dd/yyyy ____' WHEN n % 12 = 7 THEN '○ other' ELSE text END,
+    CASE WHEN n % 12 = 0 AND n % 36 <> 0 THEN 14 ELSE 10 END, n % 12 = 0, y, y + 8, CASE WHEN n % 40 = 39 THEN 'table_cell' END
+  FROM (SELECT *, 10 * CASE WHEN n % 24 IN (8, 13) THEN n - 1 ELSE n END AS y FROM z)
+), a AS (
+  SELECT *, trim(text, ' ') AS t, regexp_matches(text, '_{{2,}} *$') AS entry, regexp_full_match(trim(text, ' '), '_{{3,}}') AS bare FROM blocks
+), b AS (
+  SELECT *, lead(t) OVER w AS next_t, coalesce(lead(entry) OVER w, false) AS next_entry, CASE WHEN bare THEN length(t) END AS run, lag(CASE WHEN bare THEN length(t) END) OVER w AS last_run,
+    coalesce(lag(y0) OVER w < y1 AND lag(y1) OVER w > y0, false) OR coalesce(lead(y0) OVER w < y1 AND lead(y1) OVER w > y0, false) AS beside, quantile_cont(size, 0.5) OVER (PARTITION BY f) AS median
+  FROM a WINDOW w AS (PARTITION BY f ORDER BY n)
+), c AS (SELECT *, sum(CASE WHEN bare AND coalesce(least(run, last_run) >= 0.75 * greatest(run, last_run), false) AND last_run IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY f ORDER BY n) AS island FROM b
+), d AS (
+  SELECT *, count(*) OVER (PARTITION BY f, island) AS stacked, coalesce(bold, false) OR coalesce(size > median, false) AS large, ends_with(t, ':') AS colon, length(t) <= 80 AS short,
+    coalesce(length(next_t) > 160, false) AS opens, coalesce(bold AND size <= median, false) AS plain FROM c
+), h AS (
+  SELECT *, unnest([
+    {{'c': CASE WHEN large AND colon AND NOT beside AND next_t IS NOT NULL AND NOT next_entry THEN 0.8::DOUBLE * CASE WHEN opens THEN 0.9 ELSE 1 END * CASE WHEN plain THEN 0.8 ELSE 1 END END,
+      'type': 'section_header', 'rule': 'section_header' || CASE WHEN opens THEN '*opens_body=0.90' ELSE '' END || CASE WHEN plain THEN '*body_sized=0.80' ELSE '' END}},
+    {{'c': CASE WHEN colon AND NOT large AND regexp_matches(t, '\\(.*\\)') AND NOT next_entry AND coalesce(size >= 0.75 * median, true) THEN 0.65::DOUBLE * CASE WHEN opens THEN 0.9 ELSE 1 END END,
+      'type': 'subsection_header', 'rule': 'subsection_header' || CASE WHEN opens THEN '*opens_body=0.90' ELSE '' END}},
+    {{'c': CASE WHEN colon AND next_entry THEN 0.8::DOUBLE END, 'type': 'question_label', 'rule': 'question_label'}},
+    {{'c': CASE WHEN starts_with(t, '☐') AND short THEN 0.9::DOUBLE END, 'type': 'checkbox_option', 'rule': 'checkbox_glyph'}},
+    {{'c': CASE WHEN starts_with(t, '○') AND short THEN 0.9::DOUBLE END, 'type': 'radio_option', 'rule': 'radio_glyph'}},
+    {{'c': CASE WHEN ends_with(t, '_') AND NOT t ILIKE '%signature%' THEN 0.75::DOUBLE END, 'type': 'text_input', 'rule': 'text_input'}},
+    {{'c': CASE WHEN bare AND stacked >= 3 THEN 0.85::DOUBLE END, 'type': 'text_area', 'rule': 'text_area'}},
+    {{'c': CASE WHEN regexp_matches(t, '(?i)\\b(date|dob|mm/dd/yyyy)\\b') AND (entry OR next_entry) THEN 0.85::DOUBLE END, 'type': 'date_input', 'rule': 'date_input'}},
+    {{'c': CASE WHEN length(t) > 160 AND NOT next_entry THEN 0.7::DOUBLE END, 'type': 'display', 'rule': 'display'}},
+    {{'c': CASE WHEN regexp_matches(t, '(?i)\\bsignature\\b') AND (entry OR next_entry) THEN 0.85::DOUBLE END, 'type': 'signature_field', 'rule': 'signature_field'}},
+    {{'c': CASE WHEN kind = 'table_cell' THEN 0.9::DOUBLE END, 'type': 'table_cell', 'rule': 'table_cell'}},
+    {{'c': CASE WHEN y0 >= 720 AND short THEN 0.85::DOUBLE END, 'type': 'page_footer', 'rule': 'page_footer'}}]) AS hit, generate_subscripts(range(12), 1) AS place FROM d
+), best AS (SELECT id, hit.type AS type, hit.rule AS rule, hit.c AS c FROM h WHERE hit.c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit.c DESC, place) = 1
+), e AS (SELECT f, n, d.id, text, t, y0, y1, coalesce(type, 'unknown') AS type, coalesce(rule, 'none') AS rule, coalesce(c, 0) AS c FROM d LEFT JOIN best ON d.id = best.id
+), l AS (
+  SELECT *, last_value(CASE WHEN type = 'question_label' THEN id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS label,
+    last_value(CASE WHEN type = 'section_header' THEN id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section,
+    coalesce(type = 'text_input' AND regexp_full_match(t, '_{{2,40}}') AND lag(type) OVER w IN ('checkbox_option', 'radio_option') AND lag(y0) OVER w < y1 AND lag(y1) OVER w > y0, false) AS inside, lag(id) OVER w AS before
+  FROM e WINDOW w AS (PARTITION BY f ORDER BY n)
+), k AS (
+  SELECT *, CASE WHEN inside THEN before WHEN type IN ('checkbox_option', 'radio_option', 'text_input', 'text_area', 'date_input', 'signature_field') THEN label WHEN type = 'question_label' THEN section END AS parent,
+    CASE WHEN inside THEN 'input_of' WHEN type IN ('checkbox_option', 'radio_option') THEN 'option_of' WHEN type = 'question_label' THEN 'child_of_section' ELSE 'input_of' END AS link FROM l
+)
+SELECT f AS fixture_id, id AS block_id, type AS block_type, rule AS rule_id, round(c, 9)::DOUBLE AS confidence, parent, CASE WHEN parent IS NOT NULL THEN link END AS relation FROM k
+UNION ALL SELECT f, id || '-input', 'text_input', 'inline_input', 0.75, id, 'input_of' FROM k WHERE type IN ('checkbox_option', 'radio_option') AND regexp_matches(t, '[^_]_{{2,40}}$')""",
+    "few_shot_examples": r"""WITH bank AS (SELECT item_id AS doc_id, text FROM benchmark WHERE item_id IS NOT NULL ORDER BY item_id DESC, text DESC LIMIT 20),
+dw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS word FROM bank),
+qw AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, '') || ':' || coalesce(turn::VARCHAR, '') AS query_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS word FROM conversations),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM dw WHERE word <> '' GROUP BY 1, 2),
+m AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS len, count(*) OVER (PARTITION BY word) AS df FROM tf),
+g AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT DISTINCT doc_id, len FROM m)),
+w AS (SELECT doc_id, word, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) AS w FROM m, g),
+s AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM qw JOIN w USING (word) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 3""",
 }
+
+#: Measures of one fixture that has no rows in a part are those of no rows.
+SQL["block_evaluation"] = f"""WITH t AS (SELECT fixture_id, string_agg(block_type || '=' || floor(accuracy * 1e6)::BIGINT, ',' ORDER BY block_type) AS listed FROM ({SQL["type_accuracy_per_type"]}) GROUP BY 1),
+b AS (SELECT fixture_id, string_agg(bin || '=' || floor(accuracy * 1e6)::BIGINT, ',' ORDER BY bin) AS listed FROM ({SQL["confidence_calibration"]}) GROUP BY 1),
+o AS (WITH {_BLOCKS}, q AS (SELECT fixture_id, row_number() OVER () AS id, d AS x, cd AS y FROM m WHERE cd IS NOT NULL),
+  z AS (SELECT a.fixture_id, count(*) FILTER ((a.x < b.x) = (a.y < b.y) AND a.x <> b.x AND a.y <> b.y) AS up, count(*) FILTER ((a.x < b.x) <> (a.y < b.y) AND a.x <> b.x AND a.y <> b.y) AS down FROM q a JOIN q b ON a.fixture_id = b.fixture_id AND a.id < b.id GROUP BY 1)
+  SELECT fixture_id, CASE WHEN up + down = 0 THEN 1 ELSE (up - down)::DOUBLE / (up + down)::DOUBLE END AS tau FROM z)
+SELECT c.*, coalesce(t.listed, '') AS type_accuracy_per_type, coalesce(b.listed, '') AS confidence_calibration, l.f1 AS parent_link_f1, l.precision AS parent_link_precision, l.recall AS parent_link_recall,
+  coalesce(e.branching_exact_match, 1)::DOUBLE AS branching_exact_match, coalesce(o.tau, 1)::DOUBLE AS reading_order_tau, coalesce(s.tau, 1)::DOUBLE AS sequence_correctness, 'OK' AS status
+FROM ({SQL["block_match_quality"]}) c LEFT JOIN t USING (fixture_id) LEFT JOIN b USING (fixture_id) LEFT JOIN ({SQL["parent_link_f1"]}) l USING (fixture_id)
+LEFT JOIN ({SQL["branching_exact_match"]}) e USING (fixture_id) LEFT JOIN o USING (fixture_id) LEFT JOIN ({SQL["sequence_tau"]}) s USING (fixture_id)"""

@@ -48,7 +48,7 @@ def merged(blocks: DataFrame, config: Config | None = None, refiner: Refiner | N
     """Blocks after classification, gate, refinement and merge.  A stage that is off passes its input on."""
     config = config or Config()
     on = config.stages
-    b = rules.link_parents(rules.classify(blocks)) if on.classification else blocks
+    b = rules.with_inline_inputs(rules.link_parents(rules.classify(blocks))) if on.classification else blocks
     b = gate.gate(b, config.gate_confidence) if on.gate else b.withColumn("routed", gate.routed(-1.0))
     accepted, deferred = b.where("not routed"), b.where("routed")
     enriched = gate.refine(deferred, refiner(deferred)) if on.llm and refiner else deferred

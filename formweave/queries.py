@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,8 +65,14 @@ def confidence_calibration(spark, sf):
 
 @query
 def block_evaluation(spark, sf):
+    """All measures; accuracies by type and by bin in millionths, as text."""
     out = blocks.evaluate(*_both(spark, sf))
-    return out.withColumns({c: F.array_sort(F.map_entries(c)).cast("string") for c in ("type_accuracy_per_type", "confidence_calibration")})
+
+    def listed(c: str) -> Column:
+        parts = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1e6).cast("string")))
+        return F.coalesce(F.array_join(parts, ","), F.lit(""))
+
+    return out.withColumns({c: listed(c) for c in ("type_accuracy_per_type", "confidence_calibration")})
 
 
 @query
@@ -201,7 +207,7 @@ def cell_values(spark, sf):
 @query
 def normalized_text(spark, sf):
     """Normalised conversation texts padded with several kinds of space, decomposed accents composed again."""
-    c = table(spark, sf, "conversations").where("turn is not null")
+    c = table(spark, sf, "conversations")
     raw = F.concat(F.lit(" \t"), F.replace(F.coalesce("text", F.lit("")), F.lit("é"), F.lit("é")), F.lit(" \x1f\n"))
     return c.select("conv_id", "turn", F.sha2(text.normalize_string(raw), 256).alias("digest"), text.is_blank(raw).alias("blank"), text.pair_key(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("key"))
 
@@ -394,11 +400,12 @@ def sequence_gaps(spark, sf):
 
 
 def _page_blocks(spark, sf) -> DataFrame:
-    """Headings and paragraphs of the pages as raw blocks."""
+    """Headings, paragraphs, list items and labels of the pages as raw blocks, with the text inside their inline tags."""
     p = table(spark, sf, "pages")
-    parts = F.regexp_extract_all("html", F.lit(r"(?is)<(?:p|h1)[^>]*>([^<]*)"), F.lit(1))
+    inline = r"</?(?:a|abbr|b|br|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|time|u)\b[^>]*>"
+    parts = F.regexp_extract_all("html", F.lit(rf"(?i)<(?:p|h[1-6]|li|label)\b[^>]*>([^<]*+(?:{inline}[^<]*+)*+)"), F.lit(1))
     r = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("fixture_id"), F.posexplode(parts).alias("pos", "text"))
-    return r.select("fixture_id", "pos", F.concat("fixture_id", F.lit("-"), F.col("pos").cast("string")).alias("block_id"), F.lit(1).alias("page"), F.col("pos").alias("reading_order"), text.strip("text").alias("text"))
+    return r.select("fixture_id", "pos", F.concat("fixture_id", F.lit("-"), F.col("pos").cast("string")).alias("block_id"), F.lit(1).alias("page"), F.col("pos").alias("reading_order"), text.strip(F.regexp_replace("text", "<[^>]*>", "")).alias("text"))
 
 
 @query
@@ -408,18 +415,26 @@ def html_blocks(spark, sf):
 
 @query
 def classified_blocks(spark, sf):
-    """The rule library over the whole page blocks, and over documents made from them with labels, glyphs and input lines."""
-    b, k = _page_blocks(spark, sf), F.col("pos") % 7
-    raw = F.when(k == 1, F.concat("text", F.lit(":"))).when(k == 2, "Name ______").when(k == 3, F.concat(F.lit("☐ "), F.col("text"))).when(k == 4, "Signature ____").when(k == 5, "DOB mm/dd/yyyy ____")
-    made = b.withColumn("text", raw).where("text is not null").withColumns({c: F.concat(F.lit("made-"), F.col(c)) for c in ("fixture_id", "block_id")})
-    c = rules.link_parents(rules.classify(b.unionByName(made)))
-    return c.select("fixture_id", "block_id", "block_type", "rule_id", F.round("confidence", 9).alias("confidence"), F.col("parent_link.relation").alias("relation"))
+    """The rule library over the whole page blocks, and over documents made from them with labels, glyphs, input lines and fonts."""
+    b, n = _page_blocks(spark, sf), F.col("pos")
+    k = n % 12
+    run = F.when(n % 24 < 12, "________").otherwise("__________")
+    raw = F.when(k.isin(0, 1), F.concat("text", F.lit(":"))).when(k == 11, F.concat("text", F.lit(" (part):"))).when(k == 2, run)
+    raw = raw.when(k == 3, F.concat(F.lit("☐ 1. "), F.col("text"), F.when(n % 24 == 3, " ____").otherwise(""))).when(k == 5, "Signature ____").when(k == 6, "DOB mm/dd/yyyy ____")
+    raw = raw.when(k == 7, "○ other").when(k.between(8, 10), F.when(n % 36 == 9, "___").otherwise(run)).otherwise(F.col("text"))
+    # some options have their input beside them, some headers a subsection, and every third header is of the body's size
+    top = F.when((n % 24).isin(8, 13), n - 1).otherwise(n) * 10.0
+    made = b.withColumns({"text": raw, "font_size": F.when((k == 0) & (n % 36 != 0), 14.0).otherwise(10.0), "bold": k == 0, "y0": top, "y1": top + 8.0, "raw_kind": F.when(n % 40 == 39, "table_cell")})
+    made = made.withColumns({c: F.concat(F.lit("made-"), F.col(c)) for c in ("fixture_id", "block_id")})
+    c = rules.with_inline_inputs(rules.link_parents(rules.classify(b.unionByName(made, allowMissingColumns=True))))
+    return c.select("fixture_id", "block_id", "block_type", "rule_id", F.round("confidence", 9).alias("confidence"), F.col("parent_link.parent_block_id").alias("parent"), F.col("parent_link.relation").alias("relation"))
 
 
 @query
 def few_shot_examples(spark, sf):
-    """The three benchmark texts closest to each of the first-turn questions by BM25."""
+    """The three examples of a bank of benchmark texts that are closest to each turn by BM25."""
     from formweave.operators.retrieval import bm25_top
 
-    c = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("text"))
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    c = table(spark, sf, "conversations").select(name.alias("query_id"), "text")
     return bm25_top(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), c, 3)

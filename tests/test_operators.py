@@ -182,3 +182,33 @@ def test_bm25(spark):
     d = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, "red red wine")], "doc_id int, text string")
     q = spark.createDataFrame([(1, "Red?")], "query_id int, text string")
     assert [r.doc_id for r in retrieval.bm25_top(d, q, 2).orderBy("rank").collect()] == [3, 1]
+
+
+def test_stacks_headers_and_inline_inputs(spark):
+    from formweave.plans import rules
+
+    rows = [
+        ("Part A:", 10.0, True, 0.0), ("text", 10.0, False, 20.0), ("Part B:", 14.0, False, 40.0), ("text", 10.0, False, 60.0),
+        ("Part C:", 14.0, False, 80.0), ("beside", 10.0, False, 82.0), ("Which:", 10.0, False, 100.0), ("______", 10.0, False, 120.0),
+        ("☐ 12. other: ____", 10.0, False, 140.0), ("☐ more", 10.0, False, 160.0), ("___", 10.0, False, 162.0),
+        ("end", 10.0, False, 180.0), ("________", 10.0, False, 200.0), ("_______", 10.0, False, 220.0), ("________", 10.0, False, 240.0), ("___", 10.0, False, 260.0),
+    ]
+    b = spark.createDataFrame([("f", i, f"b{i}", 1, t, size, bold, y, y + 10) for i, (t, size, bold, y) in enumerate(rows)], "fixture_id string, pos int, block_id string, page int, text string, font_size double, bold boolean, y0 double, y1 double")
+    got = {r.block_id: r for r in rules.with_inline_inputs(rules.link_parents(rules.classify(b))).collect()}
+    assert (got["b0"].block_type, got["b0"].rule_id) == ("section_header", "section_header*body_sized=0.80")
+    assert abs(got["b0"].confidence - 0.64) < 1e-9 and got["b2"].rule_id == "section_header"
+    assert got["b4"].block_type != "section_header"  # another block beside it
+    assert got["b8-input"].parent_link.parent_block_id == "b8" and got["b8-input"].text == "____"
+    assert got["b8"].text == "☐ 12. other: ____" and got["b8"].parent_link.parent_block_id == "b6"
+    assert got["b10"].parent_link.parent_block_id == "b9" and got["b10"].parent_link.relation == "input_of"
+    assert [got[f"b{i}"].block_type for i in (12, 13, 14, 15)] == ["text_area"] * 3 + ["text_input"]
+    assert len(got) == len(rows) + 1
+
+
+def test_bm25_bank_rotates(spark):
+    d = spark.createDataFrame([(i, f"common w{i}") for i in range(30)] + [(None, "w5")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "w5"), (2, "w29 common"), (3, None)], "query_id int, text string")
+    got = retrieval.bm25_top(d, q, 3).collect()
+    assert {r.query_id for r in got} == {2} and len(got) == 3 and min(r.doc_id for r in got) >= 10
+    assert [r.doc_id for r in got if r["rank"] == 1] == [29]
+    assert retrieval.bm25_top(d.limit(0), q, 3).count() == 0

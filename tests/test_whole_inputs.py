@@ -54,7 +54,7 @@ def test_page_blocks_are_whole(spark, tmp_path):
     got = {r.block_id: r for r in QUERIES["classified_blocks"](spark, str(tmp_path)).collect()}
     assert all(got[f"p1-{i}"].block_type == "display" for i in range(14))
     assert got["made-p1-1"].block_type == "question_label" and got["made-p1-3"].block_type != "checkbox_option"
-    assert sum(b.startswith("made-") for b in got) == 10
+    assert sum(b.startswith("made-") for b in got) == 14
 
 
 def test_vocabulary_reads_all_parts(spark, tmp_path):
