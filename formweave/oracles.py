@@ -372,6 +372,17 @@ s AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM qw JOIN w USING (w
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 3""",
 }
 
+SQL["reason_histogram"] = f"SELECT fixture_id, reason, count(*)::BIGINT AS blocks FROM (SELECT fixture_id, unnest(string_split(reasons, ',')) AS reason FROM ({SQL['gate_reasons']}) WHERE reasons <> '') GROUP BY 1, 2"
+SQL["run_summary"] = f"""SELECT g.fixture_id, count(*)::BIGINT AS blocks, count(*) FILTER (routed)::BIGINT AS routed, count(*) FILTER (routed)::DOUBLE / count(*)::DOUBLE AS route_rate,
+  coalesce(any_value(r.n), 0)::BIGINT AS rows FROM ({SQL["gate_reasons"]}) g LEFT JOIN (SELECT fixture_id, count(*) AS n FROM ({SQL["map_rows"]}) GROUP BY 1) r ON r.fixture_id = g.fixture_id GROUP BY 1"""
+SQL["workbook_round_trip"] = """WITH x AS (
+  SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, left(n_name, 1) || CASE WHEN n_nationkey % 2 = 0 THEN 'é' ELSE 'É' END AS word, n_nationkey % 5 <> 0 AS filled FROM nation
+), v AS (SELECT n_regionkey, word, i FROM x QUALIFY row_number() OVER (PARTITION BY n_regionkey, lower(word) ORDER BY i) = 1),
+w AS (SELECT n_regionkey, string_agg(word, ',' ORDER BY i) AS vocabulary FROM v GROUP BY 1)
+SELECT 'region' || n_regionkey AS workbook, 'Section||Question <Text>' AS headers, 'A1:B1' AS merged_ranges, 'Assessment|Values' AS sheet_names, 'A4' AS frozen_panes, 4 AS data_start_row,
+  (3 + coalesce(max(i) FILTER (filled), 0))::INT AS data_end_row, any_value(vocabulary) AS vocabulary, count(n_name) FILTER (filled)::BIGINT AS texts, coalesce(sum(length(n_name) + 2) FILTER (filled), 0)::BIGINT AS chars
+FROM x JOIN w USING (n_regionkey) GROUP BY n_regionkey"""
+
 #: Measures of one fixture that has no rows in a part are those of no rows.
 SQL["block_evaluation"] = f"""WITH t AS (SELECT fixture_id, string_agg(block_type || '=' || floor(accuracy * 1e6)::BIGINT, ',' ORDER BY block_type) AS listed FROM ({SQL["type_accuracy_per_type"]}) GROUP BY 1),
 b AS (SELECT fixture_id, string_agg(bin || '=' || floor(accuracy * 1e6)::BIGINT, ',' ORDER BY bin) AS listed FROM ({SQL["confidence_calibration"]}) GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formweave.operators import graph
+from formweave.operators.ratios import ratio
 
 GATE_CONFIDENCE, LEAST_CONFIDENCE, SCORE_GAP = 0.75, 0.05, 0.05
 
@@ -33,6 +34,19 @@ def gate_reasons(blocks: DataFrame, threshold: float = 0.70, by_type: dict[str,
     return b.select("fixture_id", "block_id", reasons.alias("reasons"), "threshold_used", (F.size(reasons) > 0).alias("routed"))
 
 
+def reason_histogram(reasons: DataFrame) -> DataFrame:
+    """fixture_id, reason, blocks: how many blocks of a document each reason of ``gate_reasons`` routed."""
+    return reasons.select("fixture_id", F.explode("reasons").alias("reason")).groupBy("fixture_id", "reason").agg(F.count("*").alias("blocks"))
+
+
+def run_summary(reasons: DataFrame, rows: DataFrame) -> DataFrame:
+    """fixture_id, blocks, routed, route_rate, rows: one record a document from its gate reasons and mapped rows."""
+    routed = F.count(F.when(F.col("routed"), 1))
+    out = reasons.groupBy("fixture_id").agg(F.count("*").alias("blocks"), routed.alias("routed"), ratio(routed, F.count("*"), 0.0).alias("route_rate"))
+    made = rows.groupBy("fixture_id").agg(F.count("*").alias("rows"))
+    return out.join(made, "fixture_id", "left").fillna(0, ["rows"])
+
+
 def refine(blocks: DataFrame, refinements: DataFrame | None) -> DataFrame:
     """Routed blocks take what a refinement has for them; provenance tells which."""
     if refinements is None:

@@ -78,6 +78,7 @@ class Context:
     template_xlsx: str
     question_sheet: str
     header_row: int
+    template_version: str | None = None  # pinned: a run with another template is refused
 
 
 #: Raw blocks of a source document.
@@ -107,6 +108,8 @@ class WorkbookPipeline:
 
     def __call__(self, spark: SparkSession, source: str) -> str:
         on, at = self.config.stages, self.context
+        if at.template_version:
+            xlsx.require_version(at.template_xlsx, at.template_version)
         blocks = self.extractor(spark, source) if on.extraction else extract(spark, "")
         rows: Iterator[tuple] = iter(())
         if on.mapping and blocks.columns and not blocks.isEmpty():

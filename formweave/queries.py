@@ -12,7 +12,7 @@ from formweave.functions import branching, coerce, headers, text
 from formweave.operators import blocks, graph, semantic, telemetry, validation, workbooks
 from formweave.oracles import SQL
 from formweave.plans import gate, mapping, rules
-from formweave.sources import derived
+from formweave.sources import derived, xlsx
 from formweave.sources.derived import table
 from formweave.streaming import telemetry as windows
 
@@ -318,9 +318,23 @@ def _linked(spark, sf) -> DataFrame:
     return b.withColumn("fixture_id", F.concat(F.lit("d"), F.floor(d / 50).cast("string")))
 
 
+def _reasons(spark, sf) -> DataFrame:
+    return gate.gate_reasons(_linked(spark, sf).withColumn("runner_up", F.when(F.col("pos") % 6 == 0, F.col("confidence") - 0.04)))
+
+
+@query
+def reason_histogram(spark, sf):
+    return gate.reason_histogram(_reasons(spark, sf))
+
+
+@query
+def run_summary(spark, sf):
+    return gate.run_summary(_reasons(spark, sf), mapping.map_rows(_linked(spark, sf), substitute=False))
+
+
 @query
 def gate_reasons(spark, sf):
-    r = gate.gate_reasons(_linked(spark, sf).withColumn("runner_up", F.when(F.col("pos") % 6 == 0, F.col("confidence") - 0.04)))
+    r = _reasons(spark, sf)
     return r.select("fixture_id", "block_id", F.array_join("reasons", ",").alias("reasons"), "routed")
 
 
@@ -430,6 +444,34 @@ def classified_blocks(spark, sf):
     return c.select("fixture_id", "block_id", "block_type", "rule_id", F.round("confidence", 9).alias("confidence"), F.col("parent_link.parent_block_id").alias("parent"), F.col("parent_link.relation").alias("relation"))
 
 
+@query
+def workbook_round_trip(spark, sf):
+    """A workbook for each region, written and read back: its dimension, vocabulary, cells, panes and merged ranges."""
+    n = table(spark, sf, "nation")
+    book = F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("workbook")
+    at = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    full = F.col("n_nationkey") % 5 != 0
+    accent = F.when(F.col("n_nationkey") % 2 == 0, "é\t").otherwise("É")
+
+    def rows(of: DataFrame, sheet: str, row: Column, *values: Column) -> DataFrame:
+        return of.select(book, F.lit(sheet).alias("sheet"), row.cast("int").alias("row"), F.array(*[v.cast("string") for v in values]).alias("values"))
+
+    none = F.lit(None)
+    tops = n.select("n_regionkey").distinct()
+    every = rows(tops, "Assessment", F.lit(1), F.lit("Title & \"more\""), F.lit("")).unionByName(rows(tops, "Assessment", F.lit(3), F.lit("Section"), none, F.lit("Question <Text>"), F.lit(" ")))
+    every = every.unionByName(rows(n, "Assessment", at + 3, F.when(full, F.col("n_name")), F.lit(""), F.when(full, F.concat("n_name", F.lit(" ü"))), F.lit("beyond")))
+    every = every.unionByName(rows(tops, "Values", F.lit(1), none, none, F.lit("Question Type")))
+    every = every.unionByName(rows(n, "Values", at + 1, none, none, F.concat(F.lit("\n "), F.substring("n_name", 1, 1), accent)))
+    files = xlsx.build_workbooks(every, {"Assessment": ["A1:B1"]}, {"Assessment": "A4"})
+    cells = xlsx.cells_of(files)
+    dims = xlsx.sheet_dimension(cells, xlsx.sheets_of(files), 3, "Assessment")
+    words = xlsx.controlled_vocabulary(cells).groupBy("workbook").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda v: v["value"]), ",").alias("vocabulary"))
+    texts = cells.where("sheet = 'Assessment' and row > 3 and col = 3").groupBy("workbook").agg(F.count("*").alias("texts"), F.sum(F.char_length("value.s")).alias("chars"))
+    out = dims.join(words, "workbook", "left").join(texts, "workbook", "left")
+    lists = [F.array_join(c, "|").alias(c) for c in ("headers", "merged_ranges", "sheet_names")]
+    return out.select("workbook", *lists, "frozen_panes", "data_start_row", "data_end_row", "vocabulary", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
 @query
 def few_shot_examples(spark, sf):
     """The three examples of a bank of benchmark texts that are closest to each turn by BM25."""

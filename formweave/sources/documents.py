@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import sys
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ def export_schema(path: str | Path) -> Path:
 
 class _Json(logging.Formatter):
     def format(self, record: logging.LogRecord) -> str:
-        return json.dumps({"level": record.levelname.lower(), "stage": record.name.rpartition(".")[2], "event": record.getMessage()})
+        bound = {k: v for k, v in getattr(record, "bound", {}).items() if isinstance(v, (str, int, float, bool, type(None)))}
+        when = datetime.fromtimestamp(record.created, UTC).isoformat(timespec="milliseconds")
+        return json.dumps(bound | {"timestamp": when, "level": record.levelname.lower(), "stage": record.name.rpartition(".")[2], "event": record.getMessage()})
 
 
 def configure_logging(level: str = "INFO", renderer: str = "console") -> None:
@@ -49,5 +52,14 @@ def configure_logging(level: str = "INFO", renderer: str = "console") -> None:
     root.setLevel(level)
 
 
-def get_logger(stage: str) -> logging.Logger:
-    return logging.getLogger(f"formweave.{stage}")
+class _Bound(logging.LoggerAdapter):
+    """Adds its fields to each record."""
+
+    def process(self, msg, kwargs):
+        return msg, kwargs | {"extra": {"bound": dict(self.extra)} | kwargs.get("extra", {})}
+
+
+def get_logger(stage: str, **fields: object) -> logging.Logger | logging.LoggerAdapter:
+    """The stage's logger; ``fields`` are written with each of its records."""
+    logger = logging.getLogger(f"formweave.{stage}")
+    return _Bound(logger, fields) if fields else logger

@@ -8,6 +8,7 @@ same cells to ``spark.read.format``.  Writing edits a template's XML on the driv
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import shutil
@@ -140,9 +141,17 @@ def cell_rows(workbook: str, sheets: list[Sheet]) -> Iterator[tuple]:
             yield workbook, s.name, r, c, v, formula
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """All stored cells of the workbooks under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return cells_of(_files(spark, path))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """All stored cells of workbooks given as (path, content)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = pa.struct([("kind", pa.string()), ("s", pa.string()), ("n", pa.float64()), ("d", pa.date32()), ("b", pa.bool_())])
@@ -160,7 +169,11 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """One row a sheet: its place, panes, merged and validated ranges, the workbook's names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return sheets_of(_files(spark, path))
+
+
+def sheets_of(files: DataFrame) -> DataFrame:
+    """The sheets of workbooks given as (path, content)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = pa.list_(pa.string())
@@ -264,7 +277,7 @@ def _cell_xml(row: int, col: int, value: object) -> str:
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{text.translate(_ESCAPE)}</t></is></c>'
 
 
-def write_workbook(path: str | Path, sheets: dict[str, list[list[object]]], merged: dict[str, list[str]] | None = None, panes: dict[str, str] | None = None) -> None:
+def write_workbook(path: str | Path | io.BytesIO, sheets: dict[str, list[list[object]]], merged: dict[str, list[str]] | None = None, panes: dict[str, str] | None = None) -> None:
     """A new workbook from rows by sheet."""
     merged, panes = merged or {}, panes or {}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -311,3 +324,55 @@ def write_from_template(template: str | Path, out: str | Path, sheet: str, heade
             for item in z.infolist():
                 w.writestr(item, kept if item.filename == part else z.read(item.filename))
     return {"path": str(out), "rows_written": written, "sheet_found": True}
+
+
+#: Fixed value of the format: rows of a sheet.
+MAX_ROWS = 1_048_576
+
+
+def build_workbooks(rows: DataFrame, merged: dict[str, list[str]] | None = None, panes: dict[str, str] | None = None) -> DataFrame:
+    """(path, content) of a workbook for each ``workbook``, written on executors.
+
+    ``rows`` are (workbook, sheet, row, values); rows that are missing are blank, sheets come by name.  A workbook is
+    one file and so one group; more rows than a sheet can hold fail."""
+
+    def build(table: pa.Table) -> pa.Table:
+        sheets: dict[str, list[list[object]]] = {}
+        for r in sorted(table.select(["sheet", "row", "values"]).to_pylist(), key=lambda r: (r["sheet"], r["row"])):
+            if r["row"] > MAX_ROWS:
+                raise ValueError(f"row {r['row']} of sheet {r['sheet']} is beyond {MAX_ROWS}")
+            body = sheets.setdefault(r["sheet"], [])
+            body.extend([] for _ in range(r["row"] - 1 - len(body)))
+            body.append(r["values"])
+        out = io.BytesIO()
+        write_workbook(out, sheets, merged, panes)
+        return pa.table({"path": table["workbook"][:1], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.select("workbook", "sheet", "row", "values").groupBy("workbook").applyInArrow(build, "path string, content binary")
+
+
+#: The template's header row and number of columns.
+TEMPLATE_HEADER_ROW, TEMPLATE_COLUMNS = 13, 28
+
+
+def lint_template(template: str | Path, sheet: str, header_row: int = TEMPLATE_HEADER_ROW, columns: int = TEMPLATE_COLUMNS, names: Iterable[str] = ()) -> list[str]:
+    """What is wrong with a template, in words; nothing if its header row, columns and named ranges are as they must be."""
+    sheets, defined = parse(Path(template).read_bytes())
+    found = next((s for s in sheets if s.name == sheet), None)
+    if found is None:
+        return [f"no sheet {sheet}"]
+    heads = [c for (r, c), (kind, value, _) in found.cells.items() if r == header_row and (_text(kind, value) or "").strip()]
+    problems = [] if len(heads) == columns and sorted(heads) == list(range(1, columns + 1)) else [f"row {header_row} has {len(heads)} headers up to column {max(heads, default=0)}, not {columns}"]
+    return problems + [f"no named range {n}" for n in names if n not in defined]
+
+
+def version_of(template: str | Path, version: str) -> str:
+    """A template's version: the given one and the start of the file's digest."""
+    return f"{version}+sha:{hashlib.sha256(Path(template).read_bytes()).hexdigest()[:12]}"
+
+
+def require_version(template: str | Path, pinned: str) -> None:
+    """Refuses a template whose content is not that of the pinned version."""
+    found = version_of(template, pinned.partition("+")[0])
+    if found != pinned:
+        raise ValueError(f"template {template} has version {found}, not {pinned}")

@@ -117,3 +117,24 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     live = sorted(map(str, spark.table("live").collect()))
     assert live == sorted(map(str, t.windowed(logs).collect())) and len(live) == 2
+
+
+def test_template_lint_and_version(tmp_path):
+    lint_template, require_version, version_of, write_workbook = xlsx.lint_template, xlsx.require_version, xlsx.version_of, xlsx.write_workbook
+    good, bad = tmp_path / "good.xlsx", tmp_path / "bad.xlsx"
+    heads = [[] for _ in range(12)]
+    write_workbook(good, {"Q": [*heads, [f"h{i}" for i in range(28)]]})
+    write_workbook(bad, {"Q": [*heads, [f"h{i}" for i in range(26)] + [" ", "h27"]]})
+    assert lint_template(good, "Q") == [] and lint_template(good, "Z") == ["no sheet Z"]
+    assert lint_template(bad, "Q", names=["Types"]) == ["row 13 has 27 headers up to column 28, not 28", "no named range Types"]
+    pinned = version_of(good, "1.0.0")
+    require_version(good, pinned)
+    with pytest.raises(ValueError, match="has version"):
+        require_version(bad, pinned)
+
+
+def test_bound_fields(capsys):
+    documents.configure_logging("INFO", "json")
+    documents.get_logger("gate", run="r1").info("done")
+    got = json.loads(capsys.readouterr().err.splitlines()[-1])
+    assert got.pop("timestamp").endswith("+00:00") and got == {"run": "r1", "level": "info", "stage": "gate", "event": "done"}
